@@ -341,3 +341,19 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = PERC
     named = known.groupBy("root").agg(F.min("least").alias("component_id")).join(known, "root").select("h", "component_id")
     discard(counts, lists, pairs, more)
     return table.join(named, "h", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def drop_near_duplicates(documents: DataFrame, words: int = 4, percent: int = PERCENT, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """One row of each component, that of the smallest doc_id, all columns; rows without a doc_id stay.
+
+    What goes is taken out by id: by a broadcast while it is within ``broadcast_ids`` ids, else by a join.
+    """
+    found = materialize(jaccard_components(documents, words, percent), "components")
+    gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    twice = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    fits = lambda ids: F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    kept = documents.join(fits(gone), "doc_id", "left_anti")
+    if not twice.isEmpty():
+        again = fits(twice)
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(documents.columns)

@@ -233,3 +233,15 @@ def predict_languages(docs: DataFrame, model: LanguageModel, carry: tuple[str, .
             yield pa.RecordBatch.from_arrays([*(part[c] for c in carry), names.take(pa.array(best)), pa.array(score)], names=[*carry, "lang_pred", "score"])
 
     return src.mapInArrow(run, schema)
+
+
+def drop_unknown_languages(docs: DataFrame, model: LanguageModel, least_score: float = 0.5) -> DataFrame:
+    """The rows whose text has a letter and a language of posterior ``least_score`` or more, all columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    marked = docs.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).where("__letter").drop("__letter")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "text"):
+            yield part.filter(pa.array(shared.value.predict(part["text"])[1] >= least_score))
+
+    return marked.mapInArrow(run, docs.schema) if model.languages else marked

@@ -119,3 +119,13 @@ def repetition_quality(docs: DataFrame, text: str = "text", rules: RepetitionRul
             yield pa.RecordBatch.from_arrays(columns, names=[*carry, *longs, "base_failed", "kept", *extra])
 
     return src.mapInArrow(run, schema)
+
+
+def drop_repetitive(docs: DataFrame, text: str = "text", rules: RepetitionRules = RepetitionRules()) -> DataFrame:
+    """The rows that repetition_quality keeps, all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, text):
+            yield part.filter(pa.array(measure(part[text], rules)["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)
