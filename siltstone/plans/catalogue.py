@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-GROUPS: tuple = ()
+from siltstone.plans import passages, search, text_profile
+
+GROUPS = (text_profile, search, passages)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
