@@ -6,6 +6,7 @@ from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType
 
 from siltstone.functions.text import normal_answer
 
@@ -33,7 +34,7 @@ def exact_match(prediction: Column, golds: Column) -> Column:
     return F.exists(golds, lambda g: normal_answer(g) == p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def token_f1(prediction: pd.Series, gold: pd.Series) -> pd.Series:
     """F1 of two normalised answers' tokens, as multisets."""
 
