@@ -21,12 +21,19 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark)}/tables/{label}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: Spark deletes a shuffle's files once nothing refers to it,
+    which a quiet driver may not notice for half an hour."""
+    spark._jvm.java.lang.System.gc()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, and an
     executor that is lost takes nothing with it."""
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
+    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out

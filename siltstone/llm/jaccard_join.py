@@ -317,10 +317,12 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = PERC
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     profiles = materialize(_profiles(docs, words), "profiles")
-    table = profiles.where("kind = 0").select("doc_id", "h", F.col("n").alias("n_shingles"))
+    table = materialize(profiles.where("kind = 0").select("doc_id", "h", F.col("n").alias("n_shingles")), "sizes")
     counts = materialize(profiles.where("kind = 1").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 16"), "counts")
+    discard(profiles)
     order, partners = _frequent(counts, frequent, most_frequent)
     boundary = pick_boundary(partners, percent)
+    discard(counts)
     shared = spark.sparkContext.broadcast(order)
     lists = materialize(_scan_lists(_postings(docs, shared, words, boundary, percent)), "lists")
 
@@ -331,6 +333,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = PERC
     links = _verified(docs, pairs, words, percent)
     roots = components(links)
     more = materialize(_rest(lists, roots, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    discard(lists, pairs)
     if not more.isEmpty():
         links = links.union(_verified(docs, more, words, percent))
         roots = components(links)
@@ -339,7 +342,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = PERC
     grouped = placed.where("c > 1 or root <> h").select("root").union(roots.select("root")).distinct()
     known = materialize(placed.join(grouped, "root", "left_semi").select("h", "root", "least"), "known")
     named = known.groupBy("root").agg(F.min("least").alias("component_id")).join(known, "root").select("h", "component_id")
-    discard(counts, lists, pairs, more)
+    discard(more)
     return table.join(named, "h", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
@@ -351,6 +354,7 @@ def drop_near_duplicates(documents: DataFrame, words: int = 4, percent: int = PE
     found = materialize(jaccard_components(documents, words, percent), "components")
     gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
     twice = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    discard(found)
     fits = lambda ids: F.broadcast(ids) if ids.count() <= broadcast_ids else ids
     kept = documents.join(fits(gone), "doc_id", "left_anti")
     if not twice.isEmpty():
