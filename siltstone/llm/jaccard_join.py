@@ -5,7 +5,8 @@ sets list the head of their shingles, rarest first, in inverted lists. The bound
 enumerating costs as much as the lists are expected to. Lists are scanned for links in two steps, so
 that no group of near copies is expanded into all pairs: first each member against the list's hub,
 the member with the fewest rarer shingles; then, exactly, only pairs whose ends the first step has
-left in different components. Copies are one set from the start.
+left in different components. Copies are one set from the start. Before whole sets travel, bitmaps of
+about a bit a shingle bound each pair's difference from below and rule out what cannot link.
 """
 
 from __future__ import annotations
@@ -60,12 +61,28 @@ def fingerprint(s: np.ndarray) -> int:
         return int((mix(s ^ U(0xA0761D6478BD642F)).sum(dtype=U) + U(len(s))).astype(U).view(np.int64))
 
 
+def bitmap(s: np.ndarray, most: int = 15) -> bytes:
+    """Occupied slots of a table of a power of two bits, at least the set's size (up to 2**most)."""
+    table = np.zeros(1 << max(6, min(most, len(s).bit_length())), bool)
+    table[(s & U(len(table) - 1)).astype(np.int64)] = True
+    return np.packbits(table, bitorder="little").tobytes()
+
+
+def may_match(x: bytes, y: bytes, a: int, b: int, percent: int) -> bool:
+    """False only where the bitmaps of sets of a and b shingles differ in more places than a link allows."""
+    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    m = min(len(u), len(v))
+    u, v = np.bitwise_or.reduce(u.reshape(-1, m)), np.bitwise_or.reduce(v.reshape(-1, m))
+    common = needed(a, b, percent)
+    return int(np.bitwise_count(u & ~v).sum()) <= a - common and int(np.bitwise_count(v & ~u).sum()) <= b - common
+
+
 def i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(U, copy=False).view(np.int64))
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
-    """kind 0: a document's id, set size and fingerprint; kind 1: a shingle and about how many documents
+    """kind 0: a document's id, set size, fingerprint and bitmap; kind 1: a shingle and about how many documents
     of the run hold it. Shingles met once in a run stand for sixteen such and come with one in sixteen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,14 +90,14 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
             sets = shingle_sets(Words(part["text"]), words)
             n = len(sets)
             prints = pa.array([fingerprint(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), part["doc_id"], prints, pa.array([len(s) for s in sets], pa.int64())], names=["kind", "doc_id", "h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), part["doc_id"], prints, pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], names=["kind", "doc_id", "h", "n", "bits"])
             h, times = np.unique(np.concatenate(sets), return_counts=True)
             salt = U((len(h) * 2654435761 + int(times.sum())) & (2**63 - 1))
             single = (times == 1) & ((mix(h ^ salt) & U(15)) == 0)
             h, times = np.concatenate([h[times > 1], h[single]]), np.concatenate([times[times > 1], np.full(single.sum(), 16)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), pa.nulls(len(h), pa.int64()), i64(h), pa.array(times.astype(np.int64))], names=["kind", "doc_id", "h", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), pa.nulls(len(h), pa.int64()), i64(h), pa.array(times.astype(np.int64)), pa.nulls(len(h), pa.binary())], names=["kind", "doc_id", "h", "n", "bits"])
 
-    return docs.mapInArrow(run, "kind byte, doc_id long, h long, n long")
+    return docs.mapInArrow(run, "kind byte, doc_id long, h long, n long, bits binary")
 
 
 class Order:
@@ -200,9 +217,23 @@ def _may_link(percent: int, a: Column, b: Column, i: Column, j: Column) -> Colum
     return (100 + percent) * most >= percent * (a + b).cast("long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _sieved(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the bitmaps (h, n, bits) do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in batches:
+            x, y, n, m = (c[k].to_pylist() for k in ("x", "y", "n", "m"))
+            ok = pa.array([may_match(*row, percent) for row in zip(x, y, n, m, strict=True)], pa.bool_())
+            yield c.select(["a", "b"]).filter(ok)
+
+    left, right = (bitmaps.select(F.col("h").alias(h), F.col("n").alias(n), F.col("bits").alias(bits)) for h, n, bits in (("a", "n", "x"), ("b", "m", "y")))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+
+
+def _verified(docs: DataFrame, candidates: DataFrame, bitmaps: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of fingerprints whose sets link, by their whole sets."""
     spark = docs.sparkSession
+    pairs = materialize(_sieved(candidates, bitmaps, percent), "sieved")
     ends = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
     bits = max(16, min(27, int(8 * max(1, pairs.count())).bit_length()))
     flags = _bitmap(spark, ends, bits)
@@ -230,7 +261,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
     out = materialize(both.where((100 + percent) * common >= percent * (F.size("sa") + F.size("sb")).cast("long")).select("a", "b"), "links")
-    discard(sets)
+    discard(sets, pairs)
     return out
 
 
@@ -317,7 +348,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = PERC
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
     profiles = materialize(_profiles(docs, words), "profiles")
-    table = materialize(profiles.where("kind = 0").select("doc_id", "h", F.col("n").alias("n_shingles")), "sizes")
+    table = materialize(profiles.where("kind = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), "bits"), "sizes")
     counts = materialize(profiles.where("kind = 1").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 16"), "counts")
     discard(profiles)
     order, partners = _frequent(counts, frequent, most_frequent)
@@ -330,19 +361,20 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = PERC
     filters = (F.col("h") != F.col("hub")) & _may_link(percent, F.col("n"), F.col("hub_n"), F.col("pos"), F.col("hub_pos"))
     hubs = lists.where("split and h = hub").select("key", F.lit(0).alias("salt"), F.lit(False).alias("split"), "pos", "n", "h")
     pairs = materialize(lists.where(filters).select(first, second).union(_scan_lists(hubs).where(filters).select(first, second)).distinct(), "pairs")
-    links = _verified(docs, pairs, words, percent)
+    bitmaps = materialize(table.groupBy("h").agg(F.any_value("n_shingles").alias("n"), F.any_value("bits").alias("bits")), "bitmaps")
+    links = _verified(docs, pairs, bitmaps, words, percent)
     roots = components(links)
     more = materialize(_rest(lists, roots, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
     discard(lists, pairs)
     if not more.isEmpty():
-        links = links.union(_verified(docs, more, words, percent))
+        links = links.union(_verified(docs, more, bitmaps, words, percent))
         roots = components(links)
     per_set = table.where("n_shingles > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
     placed = per_set.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     grouped = placed.where("c > 1 or root <> h").select("root").union(roots.select("root")).distinct()
     known = materialize(placed.join(grouped, "root", "left_semi").select("h", "root", "least"), "known")
     named = known.groupBy("root").agg(F.min("least").alias("component_id")).join(known, "root").select("h", "component_id")
-    discard(more)
+    discard(more, bitmaps)
     return table.join(named, "h", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
