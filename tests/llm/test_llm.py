@@ -6,6 +6,7 @@ import zipfile
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import DATA
 
@@ -198,3 +199,20 @@ def test_pipeline_stages(spark):
 def test_base32_digest():
     fields, http, payload = archives.parse_record(archives.write_record("1", "http://a", b"abc", 3, b"\0" * 20, None))
     assert payload == b"abc" and http["Content-Length"] == "3" and base64.b32decode(fields["WARC-Payload-Digest"][5:]) == b"\0" * 20
+
+
+def test_bitmaps_rule_out_no_link():
+    rng = np.random.default_rng(7)
+    ruled_out = 0
+    for _ in range(400):
+        pool = rng.integers(0, 2**63, 2000).astype(np.uint64)
+        n = int(rng.integers(1, 900))
+        a, b = (np.unique(rng.choice(pool[: n + int(rng.integers(0, n + 1))], n)) for _ in range(2))
+        if rng.random() < 0.5:
+            b = np.unique(np.concatenate([a[int(len(a) * rng.random() * 0.12) :], pool[1990 : 1990 + int(rng.integers(0, 10))]]))
+        common = len(np.intersect1d(a, b))
+        links = 100 * common >= 85 * (len(a) + len(b) - common)
+        may = jaccard_join.may_match(jaccard_join.bitmap(a), jaccard_join.bitmap(b), len(a), len(b), 85)
+        assert may or not links
+        ruled_out += not may
+    assert ruled_out > 100
