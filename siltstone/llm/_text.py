@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 U = np.uint64
 _STEP = 0xD1342543DE82EF95
 _BACK = pow(_STEP, -1, 1 << 64)
-_SEGMENT = 4 << 20
+_SEGMENT = 1 << 20
 _pow: list[np.ndarray] = []
 
 
