@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def work_root(spark: SparkSession) -> str:
     """The shared folder: spark.checkpoint.dir, or one made here where it is unset (tests)."""
@@ -27,6 +30,15 @@ def release(spark: SparkSession) -> None:
     spark._jvm.java.lang.System.gc()
 
 
+def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded in bytes, unless the session sets its own bound: a batch of long
+    texts is held by the JVM and the Python worker at once, in copies."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_BYTES, None) is None:
+        conf.set(BATCH_BYTES, str(4 << 20))
+    return df.mapInArrow(run, schema)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, and an
     executor that is lost takes nothing with it."""

@@ -6,6 +6,7 @@ ASCII bytes, so they hold for UTF-8 as it is. Hashes are 64-bit.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = _SEGMENT
             to = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end; Spark reuses the worker, which would else keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def flatten(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from siltstone.llm._io import map_texts
 from siltstone.llm._text import SPACE_PUNCT, U, Words, grams, members, mix, pieces, sieve_of
 
 SHINGLE, THRESHOLD, RADIUS, BLOCKS = 5, 0.8, 20, 8
@@ -153,7 +154,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                     s, h, at, n = zip(*values, strict=True)
                     yield pa.RecordBatch.from_arrays([part["doc_id"].take(pa.array([t for t, _ in keys])), pa.array([shared.value.ids[k] for _, k in keys]), pa.array(s), pa.array(h, pa.int32()), pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "item_id", "similarity", "hamming", "first_word", "n_windows"])
 
-        out = out.union(src.mapInArrow(run, schema))
+        out = out.union(map_texts(src, run, schema))
     return out
 
 
@@ -169,5 +170,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                 keep[[t for t, _ in shared.value.search(part[text], threshold)]] = False
                 yield part.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = map_texts(out, run, docs.schema)
     return out

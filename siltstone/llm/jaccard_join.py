@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltstone.llm._graph import components
-from siltstone.llm._io import discard, materialize
+from siltstone.llm._io import discard, map_texts, materialize
 from siltstone.llm._text import U, Words, members, mix, pieces, shingle_sets, sieve_of
 
 PERCENT = 85  # similarity; set sizes and overlaps below follow from it
@@ -97,7 +97,7 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
             h, times = np.concatenate([h[times > 1], h[single]]), np.concatenate([times[times > 1], np.full(single.sum(), 16)])
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), pa.nulls(len(h), pa.int64()), i64(h), pa.array(times.astype(np.int64)), pa.nulls(len(h), pa.binary())], names=["kind", "doc_id", "h", "n", "bits"])
 
-    return docs.mapInArrow(run, "kind byte, doc_id long, h long, n long, bits binary")
+    return map_texts(docs, run, "kind byte, doc_id long, h long, n long, bits binary")
 
 
 class Order:
@@ -172,7 +172,7 @@ def _postings(docs: DataFrame, order, words: int, boundary: int, percent: int) -
                 salt = (mix(h.view(U)) % split.astype(U)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([i64(key), pa.array(salt), pa.array(split > 1), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h)], names=["key", "salt", "split", "pos", "n", "h"])
 
-    return docs.mapInArrow(run, "key long, salt int, split boolean, pos int, n int, h long")
+    return map_texts(docs, run, "key long, salt int, split boolean, pos int, n int, h long")
 
 
 def _scan_lists(postings: DataFrame) -> DataFrame:
@@ -256,7 +256,7 @@ def _verified(docs: DataFrame, candidates: DataFrame, bitmaps: DataFrame, words:
                 values = pa.array(np.concatenate(out).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]).astype(np.int32)), values)], names=["h", "s"])
 
-    raw = docs.mapInArrow(run, "h long, s array<long>").join(ends, "h", "left_semi")
+    raw = map_texts(docs, run, "h long, s array<long>").join(ends, "h", "left_semi")
     sets = materialize(raw.groupBy("h").agg(F.any_value("s").alias("s")), "sets")
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")

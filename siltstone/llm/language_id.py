@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from siltstone.llm._io import map_texts
 from siltstone.llm._text import U, byte_values, members, mix, pieces, sieve_of, span_hashes
 
 LONGEST, CUT, SCALE = 16, 64, 2.5
@@ -200,7 +201,7 @@ def fit_language_model(labelled: DataFrame, vocabulary: str = VOCABULARY, rows_p
                 times = np.bincount(index, minlength=len(words))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array(times)], names=["lang", "word", "n"])
 
-    table = sample.mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
+    table = map_texts(sample, count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
     table = table[table.word.map(len) > 1].sort_values(["word", "lang"])
     words, index = np.unique(np.array([bytes(w) for w in table.word], object), return_inverse=True)
     times = np.zeros((len(words), len(languages)))
@@ -232,7 +233,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, carry: tuple[str, .
             best, score = np.where(letter, best, len(model.languages)), np.where(letter, score, 0.0)
             yield pa.RecordBatch.from_arrays([*(part[c] for c in carry), names.take(pa.array(best)), pa.array(score)], names=[*carry, "lang_pred", "score"])
 
-    return src.mapInArrow(run, schema)
+    return map_texts(src, run, schema)
 
 
 def drop_unknown_languages(docs: DataFrame, model: LanguageModel, least_score: float = 0.5) -> DataFrame:
@@ -244,4 +245,4 @@ def drop_unknown_languages(docs: DataFrame, model: LanguageModel, least_score: f
         for part in pieces(batches, "text"):
             yield part.filter(pa.array(shared.value.predict(part["text"])[1] >= least_score))
 
-    return marked.mapInArrow(run, docs.schema) if model.languages else marked
+    return map_texts(marked, run, docs.schema) if model.languages else marked

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from siltstone.llm._io import map_texts
 from siltstone.llm._text import SPACE, U, Words, byte_values, grams, mix, pieces, span_hashes
 
 EXACT = byte_values(fold=False)
@@ -118,7 +119,7 @@ def repetition_quality(docs: DataFrame, text: str = "text", rules: RepetitionRul
             columns = [part[c] for c in carry] + [pa.array(m[c], pa.int64()) for c in longs] + [pa.array(m[c]) for c in ("base_failed", "kept")] + [pa.array(m[c], pa.int64()) for c in extra]
             yield pa.RecordBatch.from_arrays(columns, names=[*carry, *longs, "base_failed", "kept", *extra])
 
-    return src.mapInArrow(run, schema)
+    return map_texts(src, run, schema)
 
 
 def drop_repetitive(docs: DataFrame, text: str = "text", rules: RepetitionRules = RepetitionRules()) -> DataFrame:
@@ -128,4 +129,4 @@ def drop_repetitive(docs: DataFrame, text: str = "text", rules: RepetitionRules
         for part in pieces(batches, text):
             yield part.filter(pa.array(measure(part[text], rules)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)
