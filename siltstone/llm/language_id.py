@@ -149,9 +149,10 @@ class LanguageModel:
         self.pieces, self.languages, self.name = Pieces(vocabulary), languages, uuid.uuid4().hex
         self.p = np.full((self.pieces.n, len(languages)), 1.0 / self.pieces.n)
 
-    def fit(self, words: list[bytes], times: np.ndarray, rounds: int, prior: float) -> None:
+    def fit(self, words: list[bytes], times: np.ndarray, rounds: int, prior: float, block: int = 20_000) -> None:
+        """Rounds of expectation-maximisation; ``block`` words at a time bound the memory of their segmentations."""
         for _ in range(rounds):
-            counts = self.pieces.expected(words, times, self.p) + prior
+            counts = sum(self.pieces.expected(words[i : i + block], times[i : i + block], self.p) for i in range(0, len(words), block)) + prior
             self.p = counts / counts.sum(axis=0)
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
