@@ -1,14 +1,16 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-States are contexts of up to ``depth`` words that make up a least share of the training tokens and
-whose next words diverge from those of the shorter context. A state keeps the next words that
-diverge, discounted; the mass left over goes to the shorter state, and from the empty context to
+States are contexts of up to ``depth`` words that occur at least ``least_count`` times in the training
+tokens and whose next words diverge from those of the shorter context. A state keeps the next words
+that diverge, discounted; the mass left over goes to the shorter state, and from the empty context to
 smoothed counts over all training tokens. A token is scored from the longest state that is a suffix
 of what precedes it.
 
-The corpus is counted by joins and aggregations on 64-bit word hashes. The tree is bounded by its
-thresholds (1 / least_share contexts a depth, 1 / least_next words a context), so it may be
-broadcast, as may the ``hot`` words; the counts of all other words reach their occurrences by a join.
+The tree grows with the corpus, so it stays in a table. In logarithms a text's score is a sum over the
+runs of words in it: a word brings its base, a kept run what its state adds to the shorter one's
+chance of its last word, and a state what it takes from all words that follow. All are values of 64-bit
+hashes of runs and reach the texts by one join; sieves of bounded size keep back most runs without a
+value, and the ``hot`` words and ``hot`` longer runs with most occurrences are broadcast to save rows.
 """
 
 from __future__ import annotations
@@ -21,125 +23,86 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.llm._io import discard, materialize
-from siltstone.llm._text import U, Words, members, pieces, sieve_of
+from siltstone.llm._text import U, Words, members, mix, pieces, sieve_of
 
 END = np.array([0x5DEECE66D1CE4E5B], U)
-WIDTH = 17
+#: Bits of the largest sieve; with more keys than that it only lets more rows pass.
+SIEVE_BITS = 27
 NAMES = ["rid", "doc_id", "held_out", "h", "n", "known", "base", "more"]
 
 
 @dataclass(frozen=True)
 class TreeRules:
     depth: int = 2
-    least_share: float = 1e-4
     least_count: int = 4
-    least_next: float = 1e-3
     lift: float = 1.5
     gain: float = 6.0
     state_gain: float = 10.0
     discount: float = 0.75
-    hot: int = 1 << WIDTH
+    hot: int = 1 << 17
 
 
 def _i64(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-class Tree:
-    """Hot words and states. ``words`` ascending by hash, ``counts`` beside it."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tokens: int, kinds: int):
-        order = np.argsort(words)
-        self.words, self.counts, self.tokens, self.kinds = words[order], counts[order], tokens, kinds
-        self.sieve = sieve_of(self.words)
-        self.base = (self.counts + 0.5) / (tokens + 0.5 * (kinds + 1))
-        self.heads: list[np.ndarray] = []  # for each depth: left word and next shorter context, packed, ascending
-        self.totals: list[np.ndarray] = []
-        self.states: list[tuple] = []  # for each depth: kept entries' keys, their probability; each context's rest and whether it is a state
-
-    def tokens_of(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """All tokens' hashes, each text's end among them, and their hot index or -1."""
-        n = len(w.counts)
-        h = np.empty(len(w.start) + n, U)
-        where = np.arange(len(w.start)) + w.text_of()
-        h[where] = w.hashes()
-        h[w.first[1:] + np.arange(n)] = END[0]
-        index = np.full(len(h), -1, np.int64)
-        hit, at = members(self.words, h, self.sieve)
-        index[hit] = at
-        return h, index
-
-    def contexts(self, index: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
-        """For each token the index of its context of ``depth`` words, or -1. place: tokens before it in its text."""
-        own = np.zeros(len(index), np.int64)
-        for d in range(1, depth + 1):
-            left = np.full(len(index), -1, np.int64)
-            left[d:] = index[:-d] if d <= len(index) else left[d:]
-            ok = (place >= d) & (left >= 0) & (own >= 0)
-            key = np.where(ok, (left << 20) | np.maximum(own, 0), -1)
-            keys = self.heads[d - 1]
-            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            own = np.where(ok & (keys[at] == key), at, -1) if len(keys) else np.full(len(index), -1, np.int64)
-        return own
-
-    def contexts_of(self, seqs: np.ndarray) -> np.ndarray:
-        """The index of each sequence of hot words as a context, or -1."""
-        own = np.zeros(len(seqs), np.int64)
-        for d in range(1, seqs.shape[1] + 1):
-            keys, key = self.heads[d - 1], (seqs[:, -d] << 20) | np.maximum(own, 0)
-            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
-            own = np.where((own >= 0) & (keys[at] == key), at, -1) if len(keys) else np.full(len(seqs), -1)
-        return own
-
-    def score(self, index: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 base of each hot token (0 for others), and what the states add to log10 of the base."""
-        hot = index >= 0
-        base = np.where(hot, self.base[np.maximum(index, 0)] if len(self.base) else 1.0, 1.0)
-        p = base.copy()
-        for d, (keys, shares, rest, state) in enumerate(self.states, 1):
-            own = self.contexts(index, place, d)
-            at = np.flatnonzero(own >= 0)
-            at = at[state[own[at]]]
-            p[at] *= rest[own[at]]
-            if len(keys):
-                k = (own[at] << WIDTH) | index[at]
-                i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                same = (keys[i] == k) & hot[at]
-                p[at[same]] += shares[i[same]]
-        return np.log10(base), np.log10(p) - np.log10(base)
-
-    def chance(self, own: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
-        """The probability of ``word`` after the context ``own`` of ``depth`` words, by the states so far."""
-        if not depth:
-            return self.base[word]
-        keys, shares, rest, state = self.states[depth - 1]
-        shorter = self.chance(self.heads[depth - 1][own] & ((1 << 20) - 1), word, depth - 1)
-        k = (own << WIDTH) | word
-        i = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
-        kept = np.where(keys[i] == k, shares[i], 0.0) if len(keys) else 0.0
-        return np.where(state[own], kept + rest[own] * shorter, shorter)
-
-    def grow(self, own: np.ndarray, word: np.ndarray, times: np.ndarray, rules: TreeRules) -> None:
-        """Choose the entries and states of the next depth from counts of (context, next word)."""
-        d = len(self.states)
-        total = self.totals[d]
-        e = total[own] * self.chance(self.heads[d][own] & ((1 << 20) - 1), word, d)
-        gain = times * np.log(times / e)
-        keep = (times >= rules.lift * e) & (gain >= rules.gain) & (times >= np.maximum(rules.least_count, rules.least_next * total[own]))
-        own, word, times, gain = own[keep], word[keep], times[keep], gain[keep]
-        state = np.bincount(own, gain, len(total)) >= rules.state_gain
-        shares = (times - rules.discount) / total[own]
-        rest = 1.0 - np.bincount(own, shares, len(total))
-        keys = (own << WIDTH) | word
-        order = np.argsort(keys)
-        self.states.append((keys[order], shares[order], rest, state))
+def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The hash of a run of words from those of the run without its last and without its first word."""
+    return mix(context * U(0x9E6C63D0876A9A47) + suffix)
+
+
+class Sieve:
+    """Two bits for each hash of a table, collected as 64-bit words; what lacks one is not in the table."""
+
+    def __init__(self, hashes: DataFrame):
+        bits = min(SIEVE_BITS, max(10, int(hashes.count()).bit_length() + 4))
+        x = F.explode(F.array("h", F.shiftrightunsigned("h", 32))).alias("x")
+        x = hashes.select(x).select(F.col("x").bitwiseAND((1 << bits) - 1).alias("x"))
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x").bitwiseAND(63).cast("int"))
+        rows = x.groupBy(F.shiftrightunsigned("x", 6).alias("i")).agg(F.bit_or(one).alias("b")).toArrow()
+        self.words = np.zeros(1 << (bits - 6), U)
+        self.words[rows["i"].to_numpy()] = rows["b"].to_numpy().view(U)
+        self.mask = U((1 << bits) - 1)
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        return (self.words[((x & self.mask) >> U(6)).astype(np.int64)] >> (x & U(63)) & U(1)).astype(bool)
+
+    def passes(self, h: np.ndarray) -> np.ndarray:
+        out = self.has(h)
+        at = np.flatnonzero(out)
+        out[at] = self.has(h[at] >> U(32))
+        return out
+
+
+def tokens_of(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens' hashes, each text's end among them, and the number of tokens before each in its text."""
+    n = len(w.counts)
+    h = np.empty(len(w.start) + n, U)
+    h[np.arange(len(w.start)) + w.text_of()] = w.hashes()
+    h[w.first[1:] + np.arange(n)] = END[0]
+    lengths = w.counts + 1
+    return h, np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def longer(g: np.ndarray) -> np.ndarray:
+    """For each token the run that ends there, one word longer than in ``g``; bounds of texts ignored."""
+    out = np.zeros(len(g), U)
+    out[1:] = joined(g[:-1], g[1:])
+    return out
 
 
 def held_out_column(doc: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc).cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
-def _train(docs: DataFrame, rules: TreeRules) -> tuple[Tree, DataFrame]:
+def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        context, suffix = (b[k].to_numpy().view(U) for k in ("ctx", "sfx"))
+        yield pa.RecordBatch.from_arrays([_i64(joined(context, suffix)), b["ctx"], b["sfx"], b["c"]], names=["h", "ctx", "sfx", "c"])
+
+
+def _train(docs: DataFrame, rules: TreeRules) -> tuple[DataFrame, int, int]:
+    """The model (h, n, c, more), the training tokens and distinct words. ``c`` is null but for words."""
     sc = docs.sparkSession.sparkContext
     train = docs.where("not held_out").select("text")
 
@@ -148,66 +111,70 @@ def _train(docs: DataFrame, rules: TreeRules) -> tuple[Tree, DataFrame]:
             h, c = np.unique(np.concatenate([Words(part["text"]).hashes(), np.repeat(END, part.num_rows)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([_i64(h), pa.array(c.astype(np.int64))], names=["h", "c"])
 
-    counts = materialize(train.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
-    level = F.floor(F.log2("c") * 4)
-    levels = counts.groupBy(level.alias("l")).agg(F.count("*").alias("k"), F.sum("c").alias("n")).collect()
-    tokens, kinds, over, least = sum(r["n"] for r in levels), sum(r["k"] for r in levels), 0, None
-    for r in sorted(levels, key=lambda r: -r["l"]):
-        over += r["k"]
-        if over > rules.hot:
-            break
-        least = r["l"]
-    hot = counts.where(level >= (least if least is not None else 1 << 30)).toPandas()
-    tree = Tree(hot["h"].to_numpy(np.int64).view(U), hot["c"].to_numpy(np.int64), tokens, kinds)
-    floor = max(rules.least_count, rules.least_share * tokens)
-    seqs = np.flatnonzero((tree.counts >= floor) & (tree.words != END[0]))[:, None]
-    totals = tree.counts[seqs[:, 0]]
+    words = materialize(train.mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "words")
+    kinds, tokens = words.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    model = words.select("h", F.col("c").alias("n"), "c", F.lit(0.0).alias("more"))
+    runs = words.where(F.col("c") >= rules.least_count).select("h", "c", ((F.col("c") + 0.5) / F.lit(tokens + 0.5 * (kinds + 1))).alias("p"))
+    used = [words]
     for depth in range(1, rules.depth + 1):
-        # a sequence is a context if it is frequent, and then so are its suffixes
-        key = (seqs[:, 0] << 20) | (np.zeros(len(seqs), np.int64) if depth == 1 else shorter)
-        order = np.argsort(key)
-        tree.heads.append(key[order])
-        tree.totals.append(totals[order])
-        seqs = seqs[order]
-        if not len(seqs):
-            tree.states.append((np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, bool)))
-            shorter = totals = np.zeros(0, np.int64)
-            seqs = np.zeros((0, depth + 1), np.int64)
-            continue
-        shared = sc.broadcast(tree)
+        # a run is frequent only if it is without its last and without its first word
+        shared = sc.broadcast(Sieve(runs.select("h")))
 
         def follow(batches: Iterator[pa.RecordBatch], shared=shared, depth=depth) -> Iterator[pa.RecordBatch]:
-            tree = shared.value
             for part in pieces(batches, "text", 8 << 20):
-                w = Words(part["text"])
-                _, index = tree.tokens_of(w)
-                own = tree.contexts(index, _places(w), depth)
-                at = np.flatnonzero((own >= 0) & (index >= 0))
-                k, c = np.unique((own[at] << WIDTH) | index[at], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int32))], names=["k", "c"])
-
-        pairs = train.mapInArrow(follow, "k long, c int").groupBy("k").agg(F.sum("c").alias("c")).where(F.col("c") >= rules.least_count)
-        spark = docs.sparkSession
-        sizes = spark.createDataFrame(pa.table({"own": np.arange(len(seqs)), "total": tree.totals[-1]}).to_pandas())
-        bases = spark.createDataFrame(pa.table({"word": np.arange(len(tree.base)), "p": tree.base}).to_pandas())
-        pairs = pairs.select(F.shiftrightunsigned("k", WIDTH).alias("own"), F.col("k").bitwiseAND((1 << WIDTH) - 1).alias("word"), "c")
-        tested = pairs.join(F.broadcast(sizes), "own").where((F.col("c") >= F.lit(rules.least_next) * F.col("total")))
-        # an entry of the tree, or a context of the next depth
-        wanted = tested.join(F.broadcast(bases), "word").where((F.col("c") >= floor) | (F.col("c") >= rules.lift * F.col("total") * F.col("p")) | F.lit(depth > 1))
-        got = wanted.select("own", "word", "c").toPandas()
-        own, word, times = (got[k].to_numpy(np.int64) for k in ("own", "word", "c"))
-        tree.grow(own, word, times, rules)
-        if depth < rules.depth:
-            often = (times >= floor) & (tree.words[word] != END[0])
-            nexts = np.concatenate([seqs[own[often]], word[often][:, None]], axis=1)
-            shorter = tree.contexts_of(nexts[:, 1:])
-            seqs, totals, shorter = nexts[shorter >= 0], times[often][shorter >= 0], shorter[shorter >= 0]
-    return tree, counts
-
-
-def _places(w: Words) -> np.ndarray:
-    lengths = w.counts + 1
-    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                g, place = tokens_of(Words(part["text"]))
+                for _ in range(1, depth):
+                    g = longer(g)
+                ok = shared.value.passes(g)
+                at = np.flatnonzero(ok[1:] & ok[:-1] & (place[1:] >= depth)) + 1
+                _, first, c = np.unique(joined(g[at - 1], g[at]), return_index=True, return_counts=True)
+                at = at[first]
+                yield pa.RecordBatch.from_arrays([_i64(g[at - 1]), _i64(g[at]), pa.array(c.astype(np.int64))], names=["ctx", "sfx", "c"])
+
+        pairs = train.mapInArrow(follow, "ctx long, sfx long, c long").groupBy("ctx", "sfx").agg(F.sum("c").alias("c")).where(F.col("c") >= rules.least_count)
+        pairs = materialize(pairs.mapInArrow(_with_hash, "h long, ctx long, sfx long, c long"), "runs")
+        tested = pairs.join(runs.select(F.col("h").alias("ctx"), F.col("c").alias("total")), "ctx").join(runs.select(F.col("h").alias("sfx"), F.col("p").alias("shorter")), "sfx")
+        e = F.col("total") * F.col("shorter")
+        gain = F.col("c") * F.log(F.col("c") / e)
+        kept = (F.col("c") >= F.lit(rules.lift) * e) & (gain >= rules.gain)
+        tested = materialize(tested.withColumn("gain", gain).withColumn("share", F.when(kept, (F.col("c") - rules.discount) / F.col("total"))), "tested")
+        of = tested.where("share is not null").groupBy("ctx").agg(F.sum("gain").alias("gain"), F.any_value("total").alias("n"), F.sum("share").alias("s"))
+        states = materialize(of.where(F.col("gain") >= rules.state_gain).select("ctx", "n", (1.0 - F.col("s")).alias("rest")), "states")
+        left = F.col("rest") * F.col("shorter")
+        chance = F.when(F.col("rest").isNull(), F.col("shorter")).otherwise(F.coalesce("share", F.lit(0.0)) + left)
+        more = F.when(F.col("rest").isNotNull() & F.col("share").isNotNull(), F.log10(chance / left))
+        runs = materialize(tested.join(states.select("ctx", "rest"), "ctx", "left").select("h", "c", chance.alias("p"), more.alias("more")), "runs")
+        none = F.lit(None).cast("long").alias("c")
+        model = model.union(runs.where("more is not null").select("h", F.col("c").alias("n"), none, "more")).union(states.select(F.col("ctx").alias("h"), "n", none, F.log10("rest").alias("more")))
+        discard(pairs, tested)
+        used += [states, runs]
+    model = materialize(model.groupBy("h").agg(F.max("n").alias("n"), F.max("c").alias("c"), F.sum("more").alias("more")), "model")
+    discard(*used)
+    return model, tokens, kinds
+
+
+def _most(model: DataFrame, limit: int) -> pa.Table:
+    """Those rows of the model with most occurrences, ``limit`` at most."""
+    level = F.floor(F.log2("n") * 4)
+    over, least = 0, None
+    for r in sorted(model.groupBy(level.alias("l")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["l"]):
+        over += r["k"]
+        if over > limit:
+            break
+        least = r["l"]
+    return model.where(level >= (least if least is not None else 1 << 30)).select("h", "c", "more").toArrow()
+
+
+class Hot:
+    """The values of the hot words and runs, and the sieve of all longer runs."""
+
+    def __init__(self, words: pa.Table, runs: pa.Table, tokens: int, kinds: int, sieve: Sieve):
+        h = np.concatenate([t["h"].to_numpy().view(U) for t in (words, runs)])
+        order = np.argsort(h)
+        base = np.log10((np.append(words["c"].to_numpy(), np.zeros(len(runs))) + 0.5) / (tokens + 0.5 * (kinds + 1)))
+        self.keys, self.base = h[order], base[order]
+        self.more = np.concatenate([t["more"].to_numpy() for t in (words, runs)])[order]
+        self.near, self.sieve = sieve_of(self.keys), sieve
 
 
 def suffix_tree_scores(documents: DataFrame, rules: TreeRules = TreeRules(), folds: int = 5, fold: int = 1) -> DataFrame:
@@ -218,36 +185,48 @@ def suffix_tree_scores(documents: DataFrame, rules: TreeRules = TreeRules(), fol
     empty table gives no rows; columns but doc_id and text are not read.
     """
     docs = documents.select("doc_id", "text", held_out_column("doc_id", folds, fold).alias("held_out"))
-    tree, counts = _train(docs, rules)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    model, tokens, kinds = _train(docs, rules)
+    longest = model.where("c is null")
+    shared = docs.sparkSession.sparkContext.broadcast(Hot(_most(model.where("c is not null"), rules.hot), _most(longest, rules.hot), tokens, kinds, Sieve(longest.select("h"))))
+    kind, depth = docs.schema["doc_id"].dataType.simpleString(), rules.depth
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
+        hot = shared.value
         for part in pieces(batches, "text"):
             w = Words(part["text"])
-            h, index = tree.tokens_of(w)
+            g, place = tokens_of(w)
             n, lengths = part.num_rows, w.counts + 1
             text = np.repeat(np.arange(n), lengths)
-            base, more = tree.score(index, _places(w))
+            base, more, rest = np.zeros(len(g)), np.zeros(len(g)), []
+            for d in range(depth + 1):
+                hit, at = members(hot.keys, g, hot.near)
+                inside = place[hit] >= d
+                hit, at = hit[inside], at[inside]
+                more[hit] += hot.more[at]
+                others = (place >= d) if d == 0 else (place >= d) & hot.sieve.passes(g)
+                others[hit] = False
+                if d == 0:
+                    base[hit] = hot.base[at]
+                    known = np.bincount(text[hit], minlength=n)
+                others = np.flatnonzero(others)
+                rest.append((text[others], g[others], np.full(len(others), d == 0)))
+                g = longer(g)
             sums = lambda x: pa.array(np.bincount(text, x, n))
-            known = pa.array(np.bincount(text, index >= 0, n).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([part["rid"], part["doc_id"], part["held_out"], pa.nulls(n, pa.int64()), pa.array(lengths.astype(np.int64)), known, sums(base), sums(more)], names=NAMES)
-            rare = np.flatnonzero(index < 0)
-            if len(rare):
-                order = rare[np.lexsort((h[rare], text[rare]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (text[order][1:] != text[order][:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(order)))
+            yield pa.RecordBatch.from_arrays([part["rid"], part["doc_id"], part["held_out"], pa.nulls(n, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)), sums(base), sums(more)], names=NAMES)
+            of, h, word = (np.concatenate(x) for x in zip(*rest, strict=True))
+            if len(h):
+                order = np.lexsort((h, of))
+                of, h, word = of[order], h[order], word[order]
+                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])))
+                times = np.diff(np.append(first, len(h)))
                 m = len(first)
-                yield pa.RecordBatch.from_arrays([part["rid"].take(pa.array(text[order[first]])), pa.nulls(m, part["doc_id"].type), pa.nulls(m, pa.bool_()), _i64(h[order[first]]), pa.array(times.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=NAMES)
+                yield pa.RecordBatch.from_arrays([part["rid"].take(pa.array(of[first])), pa.nulls(m, part["doc_id"].type), pa.nulls(m, pa.bool_()), _i64(h[first]), pa.array(times.astype(np.int64)), pa.array(word[first].astype(np.int64)), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=NAMES)
 
     rows = docs.withColumn("rid", F.monotonically_increasing_id())
     scored = materialize(rows.mapInArrow(run, f"rid long, doc_id {kind}, held_out boolean, h long, n long, known long, base double, more double"), "scored")
-    word = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(tree.tokens + 0.5 * (tree.kinds + 1)))
-    rare = scored.where("h is not null").select("rid", "h", "n").join(counts, "h", "left")
-    rare = rare.groupBy("rid").agg(F.sum(F.col("n") * word).alias("rare_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    out = scored.where("h is null").join(rare, "rid", "left")
+    word = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(tokens + 0.5 * (kinds + 1)))
+    others = scored.where("h is not null").select("rid", "h", "n", "known").join(model.select("h", "c", F.col("more").alias("adds")), "h", "left")
+    others = others.groupBy("rid").agg(F.sum(F.when(F.col("known") == 1, F.col("n") * word).otherwise(0.0)).alias("rare_base"), F.sum(F.when((F.col("known") == 1) & (F.col("c") > 0), F.col("n")).otherwise(0)).alias("rare_known"), F.sum(F.col("n") * F.coalesce("adds", F.lit(0.0))).alias("rare_more"))
+    out = scored.where("h is null").join(others, "rid", "left")
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0))
-    return out.select("doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(tree.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more")).alias("score"))
+    return out.select("doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("more") + F.coalesce("rare_more", F.lit(0.0))).alias("score"))

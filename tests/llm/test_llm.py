@@ -150,6 +150,44 @@ def test_suffix_tree_base_and_gain(spark, odd, empty):
     assert sorted(r.n_tokens for r in suffix_tree.suffix_tree_scores(odd).collect())[:3] == [1, 1, 1] and suffix_tree.suffix_tree_scores(empty).count() == 0
 
 
+@pytest.mark.parametrize("hot", [16, 1 << 17])
+def test_suffix_tree_against_whole_counts(spark, hot):
+    rnd = random.Random(4)
+    some = lambda k: [f"a{k}", f"b{k}", f"c{k % 7}"] if rnd.random() < 0.4 else [f"w{int(rnd.random() ** 3 * 900)}"]
+    docs = [(i, " ".join(x for _ in range(70) for x in some(int(rnd.random() ** 2 * 3000)))) for i in range(700)]
+    runs = [Counter() for _ in range(4)]
+    tokens = {i: [*t.split(), "$"] for i, t in docs}
+    for i, x in tokens.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for d in (1, 2, 3):
+                runs[d].update(tuple(x[j : j + d]) for j in range(len(x) - d + 1))
+    n = sum(runs[1].values())
+    assert 1e-4 * n > 6  # contexts of 4 to 6 occurrences are states too
+    chance = {g: (c + 0.5) / (n + 0.5 * (len(runs[1]) + 1)) for g, c in runs[1].items()}
+    none, rest, kept = 0.5 / (n + 0.5 * (len(runs[1]) + 1)), {}, {}
+    for d in (2, 3):
+        gains = Counter()
+        for g, c in runs[d].items():
+            if c >= 4:
+                e = runs[d - 1][g[:-1]] * chance[g[1:]]
+                if c >= 1.5 * e and c * math.log(c / e) >= 6:
+                    kept[g] = (c - 0.75) / runs[d - 1][g[:-1]]
+                    gains[g[:-1]] += c * math.log(c / e)
+        rest |= {s: 1 - sum(v for g, v in kept.items() if g[:-1] == s) for s, v in gains.items() if v >= 10}
+        chance |= {g: kept.get(g, 0) + rest[g[:-1]] * chance[g[1:]] if g[:-1] in rest else chance[g[1:]] for g, c in runs[d].items() if c >= 4}
+    rows = suffix_tree.suffix_tree_scores(spark.createDataFrame(docs, "doc_id long, text string"), suffix_tree.TreeRules(hot=hot)).toPandas().set_index("doc_id")
+    for i, x in tokens.items():
+        total = 0.0
+        for j, t in enumerate(x):
+            p = chance.get((t,), none)
+            for d in (1, 2):
+                s = tuple(x[j - d : j])
+                if j >= d and s in rest:
+                    p = kept.get((*s, t), 0) + rest[s] * p
+            total += math.log10(p)
+        assert rows.score[i] == pytest.approx(total)
+
+
 def test_language(spark, odd, empty):
     import pandas as pd
 
