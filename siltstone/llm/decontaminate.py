@@ -1,10 +1,10 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Words are runs of letters, digits and non-ASCII characters, A-Z as a-z. A document's windows have the
-size of a benchmark item each. A window that shares no shingle with an item has similarity 0, so
-fingerprints are made only of windows that a shared shingle places; a multi-index over the items'
-fingerprints finds every item within the Hamming radius, and weighted-shingle similarity over the
-whole window decides.
+size of a benchmark item each. A window of the wanted similarity holds a least number of the item's
+shingles; fingerprints are made only of windows that do. Those items and all that a multi-index over
+the items' fingerprints finds within the Hamming radius are verified: the Jaccard similarity of the
+shingles, with their counts, over the whole window decides.
 """
 
 from __future__ import annotations
@@ -42,10 +42,6 @@ class ItemIndex:
         self.keys, self.at = np.unique(keys[order].astype(U), return_index=True)
         self.at = np.append(self.at, len(order))
         self.sieve = sieve_of(self.keys)
-        held = np.zeros(len(self.keys), np.int64)
-        for u, _ in self.grams:
-            held[np.searchsorted(self.keys, u)] += 1
-        self.weight = 1.0 / np.maximum(held, 1)  # a shingle that several items share tells less
         self.lengths = sorted({int(min(shingle, n)) for n in self.size if n})
         self.prints = np.array([self.simhash(u, c) for u, c in self.grams], U)
         bits = np.array([bin(i).count("1") for i in range(256)])
@@ -56,15 +52,9 @@ class ItemIndex:
     def tagged(rolled: np.ndarray, g: int) -> np.ndarray:
         return mix(rolled + U(g))
 
-    def weights(self, g: np.ndarray) -> np.ndarray:
-        out = np.ones(len(g))
-        hit, at = members(self.keys, g, self.sieve)
-        out[hit] = self.weight[at]
-        return out
-
     def simhash(self, g: np.ndarray, times: np.ndarray) -> np.uint64:
         bits = np.unpackbits(g.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(float)
-        votes = ((2 * bits - 1) * (times * self.weights(g))[:, None]).sum(axis=0)
+        votes = ((2 * bits - 1) * times[:, None]).sum(axis=0)
         return np.packbits(votes > 0, bitorder="little").view("<u8")[0]
 
     def within(self, fingerprint: np.uint64) -> np.ndarray:
@@ -80,11 +70,10 @@ class ItemIndex:
         both = np.union1d(g, u)
         x, y = np.zeros(len(both)), np.zeros(len(both))
         x[np.searchsorted(both, g)], y[np.searchsorted(both, u)] = times, c
-        w = self.weights(both)
-        return float((np.minimum(x, y) * w).sum() / (np.maximum(x, y) * w).sum())
+        return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
 
     def search(self, texts: pa.Array, threshold: float) -> dict[tuple[int, int], tuple[float, int, int, int]]:
-        """(text, item) -> best similarity, its Hamming distance and first word, number of windows that match."""
+        """(text, item) -> best similarity, its Hamming distance and first word, number of windows that match: all of the item's size count."""
         w = Words(texts, SPACE_PUNCT)
         hashes, first = w.hashes(), w.first
         found: dict[tuple[int, int], tuple[float, int, int, int]] = {}
@@ -98,18 +87,31 @@ class ItemIndex:
             times = self.at[at + 1] - self.at[at]
             of = np.repeat(np.arange(len(hit)), times)
             post = np.arange(len(of)) - np.repeat(np.cumsum(times) - times, times) + self.at[at][of]
-            size = np.minimum(self.size[self.item[post]], first[text + 1][of] - first[text][of])
-            start = np.clip(hit[of] - self.offset[post], first[text][of], first[text + 1][of] - size)
-            fits = np.minimum(self.shingle, self.size[self.item[post]]) == g
-            windows.append(np.stack([start, size, text[of], np.full(len(of), g)], axis=1)[fits])
+            item = self.item[post]
+            fits = np.minimum(self.shingle, self.size[item]) == g
+            held = np.unique(np.stack([text[of][fits], item[fits], hit[of][fits]], axis=1), axis=0)
+            if not len(held):
+                continue
+            edges = np.append(np.flatnonzero(np.append(True, (np.diff(held[:, :2], axis=0) != 0).any(axis=1))), len(held))
+            t, k = held[edges[:-1], 0], held[edges[:-1], 1]
+            sizes = np.minimum(self.size[k], first[t + 1] - first[t])
+            leasts = threshold / (1 + threshold) * (sizes + self.size[k] - 2 * g + 2) - 1e-9  # of common shingles
+            for i in np.flatnonzero(np.diff(edges) >= leasts).tolist():
+                a, b, t, k, size, least = edges[i], edges[i + 1], *held[edges[i], :2].tolist(), int(sizes[i]), leasts[i]
+                at = held[a:b, 2]
+                start = np.arange(max(first[t], at[0] - size + g), min(first[t + 1] - size, at[-1]) + 1)
+                inside = np.searchsorted(at, start + size - g, "right") - np.searchsorted(at, start)
+                start = start[inside >= least]
+                windows.append(np.stack([start, *(np.full(len(start), x) for x in (size, t, g, k))], axis=1))
         if not windows:
             return found
-        for start, size, text, g in np.unique(np.concatenate(windows), axis=0).tolist():
-            if size < g:
-                continue
+        rows = np.unique(np.concatenate(windows), axis=0)
+        edges = np.flatnonzero((np.diff(rows[:, :4], axis=0) != 0).any(axis=1)) + 1
+        for same in np.split(rows, edges) if len(rows) else ():
+            start, size, text, g = same[0, :4].tolist()
             u, c = np.unique(self.tagged(grams(hashes[start : start + size], g), g), return_counts=True)
             own = self.simhash(u, c)
-            for k in self.within(own).tolist():
+            for k in np.union1d(same[:, 4], self.within(own)).tolist():
                 if (s := self.similarity(u, c, k)) >= threshold:
                     best = found.get((text, k))
                     here = (s, int(np.bitwise_count(self.prints[k] ^ own)), start - int(first[text]))

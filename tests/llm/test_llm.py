@@ -11,7 +11,7 @@ import pytest
 from conftest import DATA
 
 from siltstone.llm import archives, html_extract, jaccard_join, language_id, mixing, q_archives, q_jaccard, q_quality, repetition, suffix_tree, token_counts, url_filter
-from siltstone.llm.decontaminate import find_leaks
+from siltstone.llm.decontaminate import drop_leaks, find_leaks
 from siltstone.llm.queries import queries
 
 DOCS = "doc_id long, text string, lang string, source string, rule string, score double"
@@ -76,6 +76,19 @@ def test_leaks(spark, odd):
     assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (22, 3)} and find_leaks(odd, bench).count() == 0
 
 
+def test_leaks_by_plain_similarity(spark):
+    rnd = random.Random(6)
+    item = [f"w{rnd.randrange(10**6)}" for _ in range(50)]
+    text = [*item[:25], "other", *item[26:]]
+    docs = spark.createDataFrame([(1, " ".join(["z"] * 30 + text + ["z"] * 30)), (2, " ".join(text[:24] + ["other"] + text[25:]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(item)) for k in range(10)], "item_id long, text string")
+    for size in (1, 3, 2000):  # ten items that share a text, in blocks of any size: 41 of 51 shingles are common
+        rows = find_leaks(docs, bench, block_items=size).collect()
+        assert {(r.doc_id, r.item_id, r.first_word) for r in rows if r.doc_id == 1} == {(1, k, 30) for k in range(10)}
+        assert all(r.similarity == pytest.approx(41 / 51) for r in rows if r.doc_id == 1) and not [r for r in rows if r.doc_id == 2]
+    assert drop_leaks(docs, bench).select("doc_id").collect() == [(2,)]
+
+
 def test_token_edits_against_whole_encoding():
     encoder, rnd = token_counts.Encoder.at(token_counts.RANKS), random.Random(2)
     for _ in range(300):
