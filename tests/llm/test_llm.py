@@ -235,6 +235,24 @@ def test_html(spark):
     assert rows[10] == rows[11] == ("", 0) and rows[12] == ("Only <text>", 11) and rows[13][0] == "plain words ©"
 
 
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    import corpus_pipeline as p
+
+    rnd, docs = random.Random(8), []
+    for size in (8, 14, 30, 50, 90):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(size)]
+        docs += [base, base[:-1], [*base[: size // 2], "other", *base[size // 2 + 1 :]]]
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in docs]
+    root = list(range(len(docs)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert root[11] == 9  # 41 of 51 shingles of five words are common, 43 of 51 of four
+    rows = p.near_duplicates(spark, spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string"), DATA).collect()
+    assert {r.doc_id for r in rows} == set(root)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
