@@ -6,22 +6,38 @@ import html
 import re
 from collections.abc import Iterator
 
+import xxhash
+
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 BLANK = re.compile(r"\s+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: What a start tag of the key closes, if it is open within the bounds of the other set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 HOLDS_P = frozenset("article aside blockquote body div footer form header html li main nav section table td th".split())
 
 
+#: Bits of Node.holds: what lies below an element.
+ARTICLE, HEADING, TITLE = 1, 2, 4
+
+
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "label", "path", "holds")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs, [], parent
+        self.label = tag if "class" not in attrs else ".".join([tag, *sorted(w for w in attrs["class"].lower().split() if w.isalpha())])
+
+    @property
+    def elements(self) -> list[Node]:
+        return [c for c in self.children if isinstance(c, Node)]
+
+    @property
+    def is_article(self) -> bool:
+        return self.tag in ("article", "main") or self.attrs.get("role") == "main"
 
     def walk(self) -> Iterator[Node]:
         stack = [self]
@@ -34,10 +50,6 @@ class Node:
     def words(self) -> set[str]:
         return {w for k in ("class", "id") for w in re.split(r"[^a-z0-9]+", self.attrs.get(k, "").lower()) if w}
 
-    @property
-    def name(self) -> str:
-        return ".".join([self.tag, *sorted(self.attrs.get("class", "").split())])
-
 
 def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in ATTRIBUTE.findall(text)} if text.strip(" /") else {}
@@ -92,16 +104,31 @@ def parse(text: str) -> Node:
             at = node
 
 
-def blocks(node: Node, skip) -> Iterator[tuple[Node, str]]:
-    """(block element, text) in page order: text between the bounds of block elements, white space as one space."""
+def settle(page: Node) -> list[Node]:
+    """All elements, parents first, each with its path's hash and what lies below it. Any depth: nothing recurses."""
+    order = list(page.walk())
+    for n in order:
+        n.path, n.holds = xxhash.xxh64_intdigest(f"{n.parent.path if n.parent else ''}/{n.label}"), 0
+    for n in reversed(order):
+        if n.parent is not None:
+            n.parent.holds |= n.holds | ARTICLE * n.is_article | HEADING * (n.tag in HEADINGS) | TITLE * (n.tag == "h1")
+    return order
+
+
+def blocks(node: Node, skip) -> Iterator[tuple[Node, str, float]]:
+    """(block element, text, share of it in links) in page order: text between the bounds of block elements,
+    white space as one space."""
     held: list[str] = []
-    owner = node
+    owner, linked, links = node, 0, 0
 
-    def flush() -> Iterator[tuple[Node, str]]:
-        text = BLANK.sub(" ", "".join(held)).strip()
+    def flush() -> Iterator[tuple[Node, str, float]]:
+        nonlocal linked
+        whole = "".join(held)
+        text, share = BLANK.sub(" ", whole).strip(), linked / max(1, len(whole))
         held.clear()
+        linked = 0
         if text:
-            yield owner, text
+            yield owner, text, share
 
     stack: list[tuple[Node, int]] = [(node, 0)]
     while stack:
@@ -111,15 +138,19 @@ def blocks(node: Node, skip) -> Iterator[tuple[Node, str]]:
             child = at.children[i]
             if isinstance(child, str):
                 held.append(child)
+                linked += len(child) * (links > 0)
             elif child.tag == "br":
                 held.append(" ")
             elif not skip(child):
                 if child.tag not in INLINE:
                     yield from flush()
                     owner = child
+                links += child.tag == "a"
                 stack.append((child, 0))
             elif child.tag not in INLINE:
                 yield from flush()
+        elif at.tag == "a":
+            links -= 1
         elif at.tag not in INLINE:
             yield from flush()
             owner = stack[-1][0] if stack else node
