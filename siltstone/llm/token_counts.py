@@ -24,8 +24,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: How many pre-tokens before an edit can depend on it: the pattern looks at most two characters past a bound.
 CONTEXT = 3
 LEAF = 64
-#: Personal data, with what replaces it: a mail address, a long number.
-REDACTIONS = ((r"[^\s@<>]+@[^\s@<>]+\.[^\s@<>]+", "[mail]"), (r"\d[\d() .-]{6,}\d", "[number]"))
+#: Personal data, with what replaces it: a mail address, a long number. A search begins only where a run of
+#: possible characters does, and gives none of it back, so that text without blanks takes linear time.
+REDACTIONS = ((r"(?<![^\s@<>])[^\s@<>]++@[^\s@<>]+\.[^\s@<>]+", "[mail]"), (r"\d[\d() .-]{6,}\d", "[number]"))
 
 _encoders: dict[str, Encoder] = {}
 
@@ -38,7 +39,9 @@ class Encoder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        made = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # pre-tokens are cut here: the encoder's own cutting overflows its stack on a million blanks
+        self.encode, self.encode_one = made.encode_ordinary, made._encode_single_piece
         self.cut, self.known, self.room = regex.compile(PATTERN), {}, room
 
     @classmethod
@@ -54,14 +57,18 @@ class Encoder:
                 known.clear()
             for p in set(parts):
                 if p not in known:
-                    n = len(self.encode(p))
+                    n = len(self.encode_one(p))
                     if len(p) < 256:
                         known[p] = n
-            return [known[p] if p in known else len(self.encode(p)) for p in parts]
+            return [known[p] if p in known else len(self.encode_one(p)) for p in parts]
 
 
 class TokenTree:
-    """A text's pre-tokens in leaves of LEAF, and a binary tree of their characters and tokens."""
+    """A text's pre-tokens in leaves of up to 2 x LEAF, and a binary tree of their characters and tokens.
+
+    A leaf that an edit makes longer is split, and one that it empties goes; the sums of the inner nodes are
+    then added up anew, from those of the leaves and without encoding anything.
+    """
 
     def __init__(self, text: str, encoder: Encoder):
         self.encoder = encoder
@@ -69,46 +76,58 @@ class TokenTree:
         counts = encoder.counts(parts)
         self.encoded = len(parts)
         self.leaves = [parts[i : i + LEAF] for i in range(0, len(parts), LEAF)] or [[]]
+        starts = np.arange(0, len(parts), LEAF)
+        add = lambda values: np.add.reduceat(np.array(values, np.int64), starts) if parts else np.zeros(1, np.int64)
+        self._grow(add([len(p) for p in parts]), add(counts))
+
+    def _grow(self, chars: np.ndarray, tokens: np.ndarray) -> None:
         self.base = 1 << (len(self.leaves) - 1).bit_length()
-        starts = np.arange(0, max(1, len(parts)), LEAF)
-        self.chars, self.tokens = (np.zeros(2 * self.base, np.int64) for _ in range(2))
-        if parts:
-            for sums, values in ((self.chars, [len(p) for p in parts]), (self.tokens, counts)):
-                sums[self.base : self.base + len(starts)] = np.add.reduceat(np.array(values), starts)
+        self.sums = np.zeros((2, 2 * self.base), np.int64)
+        self.sums[:, self.base : self.base + len(self.leaves)] = chars, tokens
         level = self.base
         while level > 1:
-            for sums in (self.chars, self.tokens):
-                sums[level // 2 : level] = sums[level : 2 * level : 2] + sums[level + 1 : 2 * level : 2]
+            self.sums[:, level // 2 : level] = self.sums[:, level : 2 * level : 2] + self.sums[:, level + 1 : 2 * level : 2]
             level //= 2
 
     @property
     def total(self) -> int:
-        return int(self.tokens[1])
+        return int(self.sums[1, 1])
 
     def find(self, place: int) -> tuple[int, int]:
-        """The leaf that holds the character at ``place`` (the last filled leaf for the end), and its first character's place."""
-        node, before = 1, 0
-        place = min(place, max(0, int(self.chars[1]) - 1))
+        """The leaf that holds the character at ``place`` (the last leaf for the end), and its first character's place."""
+        node, before, chars = 1, 0, self.sums[0]
+        place = min(place, max(0, int(chars[1]) - 1))
         while node < self.base:
-            left = int(self.chars[2 * node])
+            left = int(chars[2 * node])
             if place < before + left:
                 node = 2 * node
             else:
                 before, node = before + left, 2 * node + 1
         return min(node - self.base, len(self.leaves) - 1), before
 
-    def _set(self, leaf: int, parts: list[str]) -> None:
-        self.leaves[leaf] = parts
-        node = self.base + leaf
-        self.chars[node], self.tokens[node] = sum(map(len, parts)), sum(self.encoder.counts(parts)) if parts else 0
-        while node > 1:
-            node //= 2
-            for sums in (self.chars, self.tokens):
-                sums[node] = sums[2 * node] + sums[2 * node + 1]
+    def _replace(self, first: int, last: int, parts: list[str]) -> None:
+        """Put ``parts`` in the place of the leaves first to last."""
+        made = [parts[i : i + LEAF] for i in range(0, len(parts), LEAF)] if len(parts) > 2 * LEAF else [parts] * bool(parts)
+        if not made and last - first + 1 == len(self.leaves):
+            made = [[]]
+        sums = np.array([[sum(map(len, x)) for x in made], [sum(self.encoder.counts(x)) for x in made]], np.int64)
+        self.leaves[first : last + 1] = made
+        if len(made) == last - first + 1:
+            for leaf, (c, t) in enumerate(sums.T.tolist(), first):
+                node = self.base + leaf
+                self.sums[:, node] = c, t
+                while node > 1:
+                    node //= 2
+                    self.sums[:, node] = self.sums[:, 2 * node] + self.sums[:, 2 * node + 1]
+        else:
+            old = self.sums[:, self.base :]
+            count = len(self.leaves) - len(made) + last - first + 1
+            self._grow(*np.concatenate([old[:, :first], sums, old[:, last + 1 : count]], axis=1))
 
     def edit(self, start: int, end: int, new: str) -> None:
         """Put ``new`` in the place of the characters [start, end)."""
         first, before = self.find(start)
+        last = max(first, self.find(end)[0])
         head = self.leaves[first]
         at, k = before, 0
         while k < len(head) and at + len(head[k]) <= start:
@@ -119,17 +138,12 @@ class TokenTree:
             head = self.leaves[first]
             before -= sum(map(len, head))
             k += len(head)
-        k = max(0, k - CONTEXT)
-        at = before + sum(map(len, head[:k]))
-        kept, start_cut = head[:k], at
-        # old text from the first pre-token that may change, leaf by leaf, until the cuts meet behind the edit
-        last, old = first, list(head[k:])
-        text = "".join(old)
-        while start_cut + len(text) < end and last + 1 < len(self.leaves):
-            last += 1
-            old += self.leaves[last]
-            text = "".join(old)
+        kept = [p for leaf in self.leaves[first : last + 1] for p in leaf][: max(0, k - CONTEXT)]
+        start_cut = before + sum(map(len, kept))
         while True:
+            # old text from the first pre-token that may change; twice as many leaves until the cuts meet behind the edit
+            old = [p for leaf in self.leaves[first : last + 1] for p in leaf][len(kept) :]
+            text = "".join(old)
             changed = text[: start - start_cut] + new + text[end - start_cut :]
             shift = len(new) - (end - start)
             bounds, place = {}, start_cut
@@ -137,7 +151,7 @@ class TokenTree:
                 if place >= end:
                     bounds[place + shift - start_cut] = i
                 place += len(p)
-            fresh, place, tail = [], 0, None
+            fresh, tail = [], None
             whole = last + 1 == len(self.leaves)
             for m in self.encoder.cut.finditer(changed):
                 if (i := bounds.get(m.start())) is not None and m.start() >= start - start_cut + len(new):
@@ -146,14 +160,9 @@ class TokenTree:
                 fresh.append(m.group())
             if tail is not None or whole:
                 break
-            last += 1
-            old += self.leaves[last]
-            text = "".join(old)
+            last = min(len(self.leaves) - 1, 2 * last - first + 1)
         self.encoded += len(fresh)
-        rest = old[tail:] if tail is not None else []
-        self._set(first, kept + fresh + rest)
-        for leaf in range(first + 1, last + 1):
-            self._set(leaf, [])
+        self._replace(first, last, kept + fresh + (old[tail:] if tail is not None else []))
 
 
 def redaction_edits(text: str, rules: Iterable[tuple[regex.Pattern, str]]) -> list[tuple[int, int, str]]:
@@ -172,7 +181,9 @@ def edited_token_counts(docs: DataFrame, ranks: str = RANKS, redactions: tuple[t
     text, its pre-tokens, edits that redact it, tokens after them, and pre-tokens encoded for the edits.
 
     A null or empty text has no tokens. Repeated rows are counted each; an empty table gives no rows;
-    other columns are not read. ``ranks`` is read where the tasks run.
+    other columns are not read. Of edits that overlap the one that begins first is made, of two that begin
+    together the shorter. Texts without blanks and of any length take time in proportion to their length.
+    ``ranks`` is read where the tasks run.
     """
     src = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
     names = ["n_tokens", "n_pretokens", "n_edits", "n_tokens_edited", "n_reencoded"]
