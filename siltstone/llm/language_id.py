@@ -2,9 +2,9 @@
 
 The pieces are those of a public tokenizer's vocabulary, which is never trained; what is learned is
 each language's probability of each piece, by expectation-maximisation over all segmentations of the
-words of a bounded sample of labelled rows. A text's likelihood in a language is the product over its
-words of the forward algorithm's sum over all ways to cut the word into pieces. Words repeat, so the
-sum is made once for each distinct word of a run of rows.
+words of a bounded sample of labelled texts. A text's likelihood in a language is the product over its
+words of the forward algorithm's sum over all ways to cut the word into pieces, however long it is. Words
+repeat, so the sum is made once for each distinct word of a run of rows.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from siltstone.llm._text import U, byte_values, members, mix, pieces, sieve_of,
 
 LONGEST, CUT, SCALE = 16, 64, 2.5
 EXACT = byte_values(fold=False)
+LETTER = r"\p{L}"
 _known: dict[str, Any] = {}
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -58,7 +59,7 @@ class Pieces:
     def lattice(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list]:
         """Nodes are the byte bounds of all words, one after another. First and last node of each word, and
         groups of arcs with equal place of their end in the word, ascending, and equal length: each node
-        ends one arc of a group at most. A group: length, nodes where arcs begin, pieces."""
+        ends one arc of a group at most. A group: end, length, nodes where arcs begin, pieces. Words of up to 255 bytes."""
         size = np.array([len(w) for w in words], np.int64)
         data = np.frombuffer(b"".join(words), np.uint8)
         first = np.cumsum(size) - size
@@ -80,7 +81,7 @@ class Pieces:
             cuts = np.concatenate([[0], np.cumsum(np.bincount(depth, minlength=1))])
             groups += [(d + n, n, begin[x:y], piece[x:y]) for d, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
         groups.sort(key=lambda g: g[:2])
-        return top, top + size, [g[1:] for g in groups]
+        return top, top + size, groups
 
     def scaled(self, p: np.ndarray) -> np.ndarray:
         """Probabilities times e^SCALE a byte, so that products of a word's pieces stay near 1."""
@@ -92,10 +93,38 @@ class Pieces:
         p = self.scaled(p)
         alpha = np.zeros((int(bottom[-1]) + 1 if len(bottom) else 0, p.shape[1]))
         alpha[top] = 1
-        for n, begin, piece in groups:
+        for _, n, begin, piece in groups:
             alpha[begin + n] += alpha[begin] * p[piece]
         return alpha, np.log(np.maximum(alpha[bottom], 1e-300)) - SCALE * (bottom - top)[:, None]
 
+    def log_sums(self, words: list[bytes], p: np.ndarray) -> np.ndarray:
+        """Each word's log probability, all segmentations summed. Words are taken CUT bytes at a time, each next run of
+        them with the forward sums at the bounds before it that a piece can begin at, brought back to about 1."""
+        out = np.zeros((len(words), p.shape[1]))
+        scaled, overlap, live, carried = self.scaled(p), 0, np.arange(len(words)), None
+        done = 0
+        while len(live):
+            top, bottom, groups = self.lattice([words[i][done - overlap : done + CUT] for i in live])
+            alpha = np.zeros((int(bottom[-1]) + 1, p.shape[1]))
+            if carried is None:
+                alpha[top] = 1
+            else:
+                for j in range(overlap + 1):
+                    alpha[top + j] = carried[:, j]
+            for end, n, begin, piece in groups:
+                if end > overlap:
+                    alpha[begin + n] += alpha[begin] * scaled[piece]
+            done += CUT
+            size = np.array([len(words[i]) for i in live])
+            ends = size <= done
+            out[live[ends]] += np.log(np.maximum(alpha[bottom[ends]], 1e-300)) - SCALE * size[ends, None]
+            overlap = LONGEST - 1
+            carried = np.stack([alpha[bottom[~ends] - overlap + j] for j in range(overlap + 1)], axis=1)
+            most = np.maximum(carried.max(axis=1), 1e-300)
+            carried, live = carried / most[:, None], live[~ends]
+            out[live] += np.log(most)
+        return out
+
     def expected(self, words: list[bytes], times: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Expected piece counts over all segmentations; times: word x language."""
         lattice = top, bottom, groups = self.lattice(words)
@@ -104,7 +133,7 @@ class Pieces:
         beta = np.zeros_like(alpha)
         beta[bottom] = times / np.maximum(alpha[bottom], 1e-300)
         out = np.zeros((self.n, p.shape[1]))
-        for n, begin, piece in reversed(groups):
+        for _, n, begin, piece in reversed(groups):
             flow = beta[begin + n] * p[piece]
             beta[begin] += flow
             flow *= alpha[begin]
@@ -116,84 +145,86 @@ class Pieces:
 
 
 def split_words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Distinct words in lower case with a blank before each, each word's index there, and each text's first word.
-    Words over CUT bytes go on in a further piece, which has no blank before it."""
+    """Distinct words in lower case with a blank before each, each word's index there, and each text's first word."""
     lists = pc.ascii_split_whitespace(pc.utf8_lower(texts.fill_null("")).cast(pa.large_string()))
     coded = lists.flatten().dictionary_encode()
     words, index, first = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(), lists.offsets.to_numpy()
-    first = first - first[0]
-    long = [i for i, w in enumerate(words) if len(w) >= CUT]
-    words = [b" " + w for w in words]
-    if long:
-        parts: dict[int, list[int]] = {}
-        for i in long:
-            w = words[i]
-            words[i], rest = w[:CUT], [w[k : k + CUT] for k in range(CUT, len(w), CUT)]
-            parts[i] = [len(words) + k for k in range(len(rest))]
-            words += rest
-        count = np.ones(len(words), np.int64)
-        for i, more in parts.items():
-            count[i] += len(more)
-        repeats = count[index]
-        wide = np.repeat(index, repeats)
-        starts = np.cumsum(repeats) - repeats
-        for at in np.flatnonzero(repeats > 1).tolist():
-            wide[starts[at] + 1 : starts[at] + repeats[at]] = parts[int(index[at])]
-        first = np.append(starts, len(wide))[first]
-        index = wide
-    return words, index, first
+    return [b" " + w for w in words], index, first - first[0]
 
 
 class LanguageModel:
     def __init__(self, vocabulary: list[bytes], languages: list[str]):
         self.pieces, self.languages, self.name = Pieces(vocabulary), languages, uuid.uuid4().hex
         self.p = np.full((self.pieces.n, len(languages)), 1.0 / self.pieces.n)
+        self.floor = -np.inf
 
     def fit(self, words: list[bytes], times: np.ndarray, rounds: int, prior: float, block: int = 20_000) -> None:
-        """Rounds of expectation-maximisation; ``block`` words at a time bound the memory of their segmentations."""
+        """Rounds of expectation-maximisation; ``block`` words at a time bound the memory of their segmentations.
+        Expected counts, unlike scores, are made of words over CUT bytes run by run."""
+        runs = [(w[k : k + CUT], i) for i, w in enumerate(words) for k in range(0, len(w), CUT)]
+        words, times = [w for w, _ in runs], times[[i for _, i in runs]]
         for _ in range(rounds):
             counts = sum(self.pieces.expected(words[i : i + block], times[i : i + block], self.p) for i in range(0, len(words), block)) + prior
             self.p = counts / counts.sum(axis=0)
 
     def word_scores(self, words: list[bytes]) -> np.ndarray:
-        """Each word's log probability by language; those of words met before in this process are remembered."""
+        """Each word's log probability by language; those of short words met before in this process are remembered."""
         if _known.get("model") != self.name or len(_known["at"]) + len(words) > _known["room"]:
             room = max(len(words), min(400_000, 16_000_000 // len(self.languages)))
             _known.update(model=self.name, room=room, at={}, logs=np.zeros((room, len(self.languages))))
         at, logs = _known["at"], _known["logs"]
-        new = [w for w in words if w not in at]
-        if new:
-            logs[len(at) : len(at) + len(new)] = self.pieces.forward(new, self.p)[1]
-            at.update(zip(new, range(len(at), len(at) + len(new)), strict=True))
-        return logs[[at[w] for w in words]]
-
-    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The likeliest language's index and its posterior under equal priors."""
+        new = [w for w in words if len(w) <= CUT and w not in at]
+        for i in range(0, len(new), 20_000):
+            some = new[i : i + 20_000]
+            logs[len(at) : len(at) + len(some)] = self.pieces.log_sums(some, self.p)
+            at.update(zip(some, range(len(at), len(at) + len(some)), strict=True))
+        out = logs[[at.get(w, 0) for w in words]]
+        if long := [i for i, w in enumerate(words) if len(w) > CUT]:
+            out[long] = self.pieces.log_sums([words[i] for i in long], self.p)
+        return out
+
+    def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Log likelihoods, text x language, and the bytes of each text's words."""
         words, index, first = split_words(texts)
         n = len(first) - 1
         logs = self.word_scores(words)
         logs[[i for i, w in enumerate(words) if w == b" "]] = 0
-        text = np.repeat(np.arange(n), np.diff(first))
-        sums = np.stack([np.bincount(text, logs[index, k], n) for k in range(len(self.languages))], axis=1)
+        text, size = np.repeat(np.arange(n), np.diff(first)), np.array([len(w) for w in words], np.int64)
+        return np.stack([np.bincount(text, logs[index, k], n) for k in range(len(self.languages))], axis=1), np.bincount(text, size[index], n)
+
+    def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The likeliest language's index (the first of equal ones), its posterior under equal priors, and its log
+        likelihood a byte."""
+        sums, size = self.sums(texts)
         post = np.exp(sums - sums.max(axis=1, keepdims=True))
-        return sums.argmax(axis=1), (post / post.sum(axis=1, keepdims=True)).max(axis=1)
+        return sums.argmax(axis=1), (post / post.sum(axis=1, keepdims=True)).max(axis=1), sums.max(axis=1) / np.maximum(size, 1)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, longer where a column has it already."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
 
 
 def held_out_column(doc: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc).cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
-def fit_language_model(labelled: DataFrame, vocabulary: str = VOCABULARY, rows_per_language: int = 250, rounds: int = 3, prior: float = 0.02) -> LanguageModel:
-    """Fit on (doc_id, text, lang) rows with text and lang: about ``rows_per_language`` of each language, chosen by a
-    hash of doc_id, all of them where there are fewer. Only word counts of this sample reach the driver."""
-    rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+def fit_language_model(labelled: DataFrame, vocabulary: str = VOCABULARY, rows_per_language: int = 250, rounds: int = 3, prior: float = 0.02, margin: float = 0.75) -> LanguageModel:
+    """Fit on (text, lang) rows with text and lang: about ``rows_per_language`` distinct texts of each language, chosen
+    by a hash of the text, all of them where there are fewer. Only word counts of this sample reach the driver.
+    ``margin``: how far under the sample's least likely hundredth, in log likelihood a byte, a text is in no learned
+    language. Texts and counts are bounded by the number of texts, not by their length."""
+    place = F.xxhash64("text", F.lit(17))
+    rows = labelled.where("text is not null and lang is not null").select("text", "lang", place.alias("place"))
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n")).collect()}
     languages = sorted(counts)
     model = LanguageModel(read_vocabulary(vocabulary), languages)
     if not languages:
         return model
     share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, rows_per_language / counts[k]))))[F.col("lang")]
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < share * (1 << 30))
+    sample = rows.where(F.pmod("place", F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "place"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
@@ -209,6 +240,14 @@ def fit_language_model(labelled: DataFrame, vocabulary: str = VOCABULARY, rows_p
     times[index, np.searchsorted(np.array(languages, object), table.lang.to_numpy(object))] = table.n
     if len(words):
         model.fit(list(words), times, rounds, prior)
+        shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+        def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in pieces(batches, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shared.value.predict(part["text"])[2])], names=["rate"])
+
+        least = map_texts(sample.where(F.col("text").rlike(LETTER)), rate, "rate double").agg(F.percentile("rate", F.lit(0.01))).first()[0]
+        model.floor = -np.inf if least is None else least - margin
     return model
 
 
@@ -216,34 +255,43 @@ def predict_languages(docs: DataFrame, model: LanguageModel, carry: tuple[str, .
     """``carry`` columns, lang_pred, score.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is all where no language was
-    learned. Repeated rows are judged each; an empty table gives no rows; other columns are not read.
+    learned. Of equally likely languages the first by name counts. Repeated rows are judged each; an empty table gives no rows; other columns are not read.
     """
-    src = docs.select(*carry, F.col("text").alias("__text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    text = free_name("text", list(carry))
+    letter = free_name("letter", [text, *carry])
+    src = docs.select(*carry, F.col("text").alias(text), F.coalesce(F.col("text").rlike(LETTER), F.lit(False)).alias(letter))
     schema = ", ".join([*(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in carry), "lang_pred string", "score double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = pa.array([*model.languages, "und"], pa.string())
-        for part in pieces(batches, "__text"):
-            letter = part["__letter"].to_numpy(zero_copy_only=False)
+        for part in pieces(batches, text):
+            known = part[letter].to_numpy(zero_copy_only=False)
             if model.languages:
-                best, score = model.predict(part["__text"])
+                best, score, _ = model.predict(part[text])
             else:
-                best, score, letter = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows), np.zeros(part.num_rows, bool)
-            best, score = np.where(letter, best, len(model.languages)), np.where(letter, score, 0.0)
+                best, score, known = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows), np.zeros(part.num_rows, bool)
+            best, score = np.where(known, best, len(model.languages)), np.where(known, score, 0.0)
             yield pa.RecordBatch.from_arrays([*(part[c] for c in carry), names.take(pa.array(best)), pa.array(score)], names=[*carry, "lang_pred", "score"])
 
     return map_texts(src, run, schema)
 
 
 def drop_unknown_languages(docs: DataFrame, model: LanguageModel, least_score: float = 0.5) -> DataFrame:
-    """The rows whose text has a letter and a language of posterior ``least_score`` or more, all columns."""
+    """The rows whose text has a letter and a language, all columns: a posterior of ``least_score`` or more, and a log
+    likelihood a byte over the model's floor, so that text in no learned language goes.
+
+    A null or empty text, or one without a letter, goes. Where no language was learned every lettered row stays.
+    Repeated rows are judged alike, of equally likely languages the first counts, an empty table stays empty, and
+    columns of any name are carried.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    marked = docs.withColumn("__letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).where("__letter").drop("__letter")
+    lettered = docs.where(F.col("text").rlike(LETTER))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
-            yield part.filter(pa.array(shared.value.predict(part["text"])[1] >= least_score))
+            _, score, rate = shared.value.predict(part["text"])
+            yield part.filter(pa.array((score >= least_score) & (rate >= shared.value.floor)))
 
-    return map_texts(marked, run, docs.schema) if model.languages else marked
+    return map_texts(lettered, run, docs.schema) if model.languages else lettered
