@@ -72,7 +72,7 @@ def test_leaks(spark, odd):
     far = lambda n: " ".join(f"z{rnd.randrange(5000)}" for _ in range(n))
     texts = [(k, f"{far(40)} {t.upper() if k % 2 else t}, {far(7)}") for k, t in items if t] + [(20, far(200)), (21, None), (22, items[3][1].rsplit(" ", 3)[0]), (23, items[3][1][:100])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench, block_items=2).collect()}
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench, block_chars=150).collect()}
     assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (22, 3)} and find_leaks(odd, bench).count() == 0
 
 
@@ -82,8 +82,8 @@ def test_leaks_by_plain_similarity(spark):
     text = [*item[:25], "other", *item[26:]]
     docs = spark.createDataFrame([(1, " ".join(["z"] * 30 + text + ["z"] * 30)), (2, " ".join(text[:24] + ["other"] + text[25:]))], "doc_id long, text string")
     bench = spark.createDataFrame([(k, " ".join(item)) for k in range(10)], "item_id long, text string")
-    for size in (1, 3, 2000):  # ten items that share a text, in blocks of any size: 41 of 51 shingles are common
-        rows = find_leaks(docs, bench, block_items=size).collect()
+    for size in (1, 300, 8_000_000):  # ten items that share a text, in blocks of any size: 41 of 51 shingles are common
+        rows = find_leaks(docs, bench, block_chars=size).collect()
         assert {(r.doc_id, r.item_id, r.first_word) for r in rows if r.doc_id == 1} == {(1, k, 30) for k in range(10)}
         assert all(r.similarity == pytest.approx(41 / 51) for r in rows if r.doc_id == 1) and not [r for r in rows if r.doc_id == 2]
     assert drop_leaks(docs, bench).select("doc_id").collect() == [(2,)]
