@@ -24,10 +24,11 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{work_root(spark)}/tables/{label}-{uuid.uuid4().hex}"
 
 
-def release(spark: SparkSession) -> None:
-    """Have the driver collect its garbage: Spark deletes a shuffle's files once nothing refers to it,
-    which a quiet driver may not notice for half an hour."""
-    spark._jvm.java.lang.System.gc()
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, longer where a column has it already."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
 
 
 def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
@@ -45,7 +46,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
-    release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._work_path = path
     return out

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siltstone.llm._graph import components
-from siltstone.llm._io import discard, map_texts, materialize
+from siltstone.llm._io import discard, free_name, map_texts, materialize
 from siltstone.llm._text import U, Words, members, mix, pieces, shingle_sets, sieve_of
 
 PERCENT = 85  # similarity; set sizes and overlaps below follow from it
@@ -68,13 +68,23 @@ def bitmap(s: np.ndarray, most: int = 15) -> bytes:
     return np.packbits(table, bitorder="little").tobytes()
 
 
-def may_match(x: bytes, y: bytes, a: int, b: int, percent: int) -> bool:
-    """False only where the bitmaps of sets of a and b shingles differ in more places than a link allows."""
-    u, v = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    m = min(len(u), len(v))
-    u, v = np.bitwise_or.reduce(u.reshape(-1, m)), np.bitwise_or.reduce(v.reshape(-1, m))
-    common = needed(a, b, percent)
-    return int(np.bitwise_count(u & ~v).sum()) <= a - common and int(np.bitwise_count(v & ~u).sum()) <= b - common
+def may_match(bits: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int, chunk: int = 1 << 14) -> np.ndarray:
+    """For pairs of places in ``bits`` (bitmaps of sets of ``n`` shingles): false only where they differ in more places
+    than a link allows. The wider bitmap of a pair is folded to the narrower's width."""
+    out = np.zeros(len(p), bool)
+    width = np.array([len(x) for x in bits], np.int64)
+    common = -(-percent * (n[p] + n[q]) // (100 + percent))
+    least = np.minimum(width[p], width[q])
+    for w in np.unique(least).tolist():
+        same = np.flatnonzero(least == w)
+        rows = np.unique(np.concatenate([p[same], q[same]]))
+        table = np.stack([np.bitwise_or.reduce(np.frombuffer(bits[r], np.uint8).reshape(-1, w)) for r in rows])
+        for i in range(0, len(same), chunk):
+            at = same[i : i + chunk]
+            u, v = table[np.searchsorted(rows, p[at])], table[np.searchsorted(rows, q[at])]
+            more = lambda x, y: np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+            out[at] = (more(u, v) <= n[p[at]] - common[at]) & (more(v, u) <= n[q[at]] - common[at])
+    return out
 
 
 def i64(x: np.ndarray) -> pa.Array:
@@ -82,7 +92,7 @@ def i64(x: np.ndarray) -> pa.Array:
 
 
 def _profiles(docs: DataFrame, words: int) -> DataFrame:
-    """kind 0: a document's id, set size, fingerprint and bitmap; kind 1: a shingle and about how many documents
+    """kind 0: a document's id, text hash, fingerprint, set size and bitmap; kind 1: a shingle and about how many documents
     of the run hold it. Shingles met once in a run stand for sixteen such and come with one in sixteen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,14 +100,15 @@ def _profiles(docs: DataFrame, words: int) -> DataFrame:
             sets = shingle_sets(Words(part["text"]), words)
             n = len(sets)
             prints = pa.array([fingerprint(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), part["doc_id"], prints, pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], names=["kind", "doc_id", "h", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int8)), part["doc_id"], part["t"], prints, pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.binary())], names=["kind", "doc_id", "t", "h", "n", "bits"])
             h, times = np.unique(np.concatenate(sets), return_counts=True)
             salt = U((len(h) * 2654435761 + int(times.sum())) & (2**63 - 1))
             single = (times == 1) & ((mix(h ^ salt) & U(15)) == 0)
             h, times = np.concatenate([h[times > 1], h[single]]), np.concatenate([times[times > 1], np.full(single.sum(), 16)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), pa.nulls(len(h), pa.int64()), i64(h), pa.array(times.astype(np.int64)), pa.nulls(len(h), pa.binary())], names=["kind", "doc_id", "h", "n", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int8)), pa.nulls(len(h), part["doc_id"].type), pa.nulls(len(h), pa.int64()), i64(h), pa.array(times.astype(np.int64)), pa.nulls(len(h), pa.binary())], names=["kind", "doc_id", "t", "h", "n", "bits"])
 
-    return map_texts(docs, run, "kind byte, doc_id long, h long, n long, bits binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_texts(docs, run, f"kind byte, doc_id {kind}, t long, h long, n long, bits binary")
 
 
 class Order:
@@ -222,9 +233,10 @@ def _sieved(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in batches:
-            x, y, n, m = (c[k].to_pylist() for k in ("x", "y", "n", "m"))
-            ok = pa.array([may_match(*row, percent) for row in zip(x, y, n, m, strict=True)], pa.bool_())
-            yield c.select(["a", "b"]).filter(ok)
+            k = c.num_rows
+            bits = np.concatenate([c[x].to_numpy(zero_copy_only=False) for x in ("x", "y")])
+            n = np.concatenate([c[x].to_numpy() for x in ("n", "m")])
+            yield c.select(["a", "b"]).filter(pa.array(may_match(bits, n, np.arange(k), np.arange(k, 2 * k), percent)))
 
     left, right = (bitmaps.select(F.col("h").alias(h), F.col("n").alias(n), F.col("bits").alias(bits)) for h, n, bits in (("a", "n", "x"), ("b", "m", "y")))
     return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
@@ -288,13 +300,14 @@ def _bitmap(spark: SparkSession, keys: DataFrame, bits: int):
     return spark.sparkContext.broadcast(table.reshape(-1))
 
 
-def _rest(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list's members that lie in different components and may link; long lists by pairs of blocks."""
+def _rest(lists: DataFrame, roots: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a list's members that lie in different components and may link, by sizes, places and bitmaps; long lists
+    by pairs of blocks. Only pairs that pass leave a task."""
     named = lists.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "pos", "n", "h", F.coalesce("root", "h").alias("root"), F.col("hub"))
     wide = named.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("hub").alias("h1"), F.min("hub").alias("h0")).where("r0 <> r1 and (c > 2 or h0 <> h1)").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
-    cells = named.join(wide, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "pos", "n", "h", "root", "hub")
+    cells = named.join(wide, "key").join(bitmaps.select("h", "bits"), "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "pos", "n", "h", "root", "hub", "bits")
 
     def emit(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         _, once = np.unique(c["h"], return_index=True)
@@ -308,10 +321,13 @@ def _rest(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
             ok = ((100 + percent) * most >= percent * n) & (c["root"][i][:, None] != c["root"][second])
             ok &= (c["hub"][i][:, None] != c["h"][second]) & (c["h"][i][:, None] != c["hub"][second])
             p, q = np.nonzero(ok)
-            yield np.minimum(c["h"][i[p]], c["h"][second[q]]), np.maximum(c["h"][i[p]], c["h"][second[q]])
+            p, q = i[p], second[q]
+            may = may_match(c["bits"], c["n"], p, q, percent)
+            p, q = c["h"][p[may]], c["h"][q[may]]
+            yield np.minimum(p, q), np.maximum(p, q)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "x", "y", "own", "pos", "n", "h", "root", "hub"]
+        names = ["key", "x", "y", "own", "pos", "n", "h", "root", "hub", "bits"]
         held: dict[str, np.ndarray] | None = None
 
         def flush(c):
@@ -321,7 +337,7 @@ def _rest(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
 
         for batch in batches:
-            c = {k: batch[k].to_numpy(zero_copy_only=False).astype(np.int64) for k in names}
+            c = {k: batch[k].to_numpy(zero_copy_only=False).astype(object if k == "bits" else np.int64) for k in names}
             if held is not None:
                 c = {k: np.concatenate([held[k], c[k]]) for k in names}
             cut = np.flatnonzero((np.diff(c["key"]) != 0) | (np.diff(c["x"]) != 0) | (np.diff(c["y"]) != 0)) + 1
@@ -335,20 +351,12 @@ def _rest(lists: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     return cells.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_components(documents: DataFrame, words: int = 4, percent: int = PERCENT, frequent: int = 64, most_frequent: int = 500_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``documents`` (doc_id, text).
-
-    A null or empty text, or one without words, has an empty set, which links with nothing. Equal
-    texts and repeated rows share a set. Rows that share a doc_id are one document to the answer: each
-    gets its own row and its set's component. A row whose doc_id is null gets a null component_id
-    unless its set has other documents. An empty table gives no rows; columns but doc_id and text are
-    not read. ``frequent`` and ``most_frequent`` only order shingles (estimates over all documents
-    suffice); every link is decided on whole sets.
-    """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _linked(documents: DataFrame, words: int, percent: int, frequent: int, most_frequent: int) -> tuple[DataFrame, DataFrame]:
+    """Each row's (doc_id, t: its text's hash, h: its set, n_shingles), and (h, root) for sets with links."""
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("t"))
     spark = docs.sparkSession
     profiles = materialize(_profiles(docs, words), "profiles")
-    table = materialize(profiles.where("kind = 0").select("doc_id", "h", F.col("n").alias("n_shingles"), "bits"), "sizes")
+    table = materialize(profiles.where("kind = 0").select("doc_id", "t", "h", F.col("n").alias("n_shingles"), "bits"), "sizes")
     counts = materialize(profiles.where("kind = 1").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 16"), "counts")
     discard(profiles)
     order, partners = _frequent(counts, frequent, most_frequent)
@@ -364,32 +372,58 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = PERC
     bitmaps = materialize(table.groupBy("h").agg(F.any_value("n_shingles").alias("n"), F.any_value("bits").alias("bits")), "bitmaps")
     links = _verified(docs, pairs, bitmaps, words, percent)
     roots = components(links)
-    more = materialize(_rest(lists, roots, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(_rest(lists, roots, bitmaps, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
     discard(lists, pairs)
     if not more.isEmpty():
         links = links.union(_verified(docs, more, bitmaps, words, percent))
         roots = components(links)
+    discard(more, bitmaps)
+    return table.drop("bits"), roots.withColumnRenamed("node", "h")
+
+
+def jaccard_components(documents: DataFrame, words: int = 4, percent: int = PERCENT, frequent: int = 64, most_frequent: int = 500_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``documents`` (doc_id, text).
+
+    A null or empty text, or one without words, has an empty set, which links with nothing. Equal
+    texts and repeated rows share a set. Rows that share a doc_id are one document to the answer: each
+    gets its own row and its set's component. A row whose doc_id is null gets a null component_id
+    unless its set has other documents. Ids may be numbers or text. An empty table gives no rows; columns but
+    doc_id and text are not read. ``frequent`` and ``most_frequent`` only order shingles (estimates over all documents
+    suffice); every link is decided on whole sets.
+    """
+    table, roots = _linked(documents, words, percent, frequent, most_frequent)
     per_set = table.where("n_shingles > 0").groupBy("h").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
-    placed = per_set.join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    placed = per_set.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     grouped = placed.where("c > 1 or root <> h").select("root").union(roots.select("root")).distinct()
     known = materialize(placed.join(grouped, "root", "left_semi").select("h", "root", "least"), "known")
     named = known.groupBy("root").agg(F.min("least").alias("component_id")).join(known, "root").select("h", "component_id")
-    discard(more, bitmaps)
     return table.join(named, "h", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def drop_near_duplicates(documents: DataFrame, words: int = 4, percent: int = PERCENT, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """One row of each component, that of the smallest doc_id, all columns; rows without a doc_id stay.
+def drop_near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, broadcast_rows: int = 500_000) -> DataFrame:
+    """One row of each component, all columns: that of the smallest doc_id (nulls last, then by a hash of the text).
 
-    What goes is taken out by id: by a broadcast while it is within ``broadcast_ids`` ids, else by a join.
+    Rows are told apart by doc_id and text, so that different texts under one id, or without an id, are different
+    documents. Of rows equal in both any one stays. A null or empty text, or one without words, links with nothing
+    and stays, however often. An empty table stays empty; columns of any name are carried. What goes is taken out by
+    a broadcast while it is within ``broadcast_rows`` rows, else by a join.
     """
-    found = materialize(jaccard_components(documents, words, percent), "components")
-    gone = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    twice = materialize(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    discard(found)
-    fits = lambda ids: F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-    kept = documents.join(fits(gone), "doc_id", "left_anti")
+    table, roots = _linked(documents, words, percent, 64, 500_000)
+    rows = materialize(table.where("n_shingles > 0").groupBy("doc_id", "t", "h").agg(F.count("*").alias("c")).join(roots, "h", "left").select("doc_id", "t", "c", F.coalesce("root", "h").alias("root")), "rows")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    first = rows.groupBy("root").agg(F.min(place).alias("f"), F.count("*").alias("k")).where("k > 1").select("root", "f")
+    told = materialize(rows.join(first, "root", "left").select("doc_id", "t", "c", F.coalesce(place != F.col("f"), F.lit(False)).alias("goes")), "told")
+    gone, twice = told.where("goes"), told.where("not goes and c > 1")
+    discard(table, rows)
+    mark = free_name("t", documents.columns)
+    kept = documents.withColumn(mark, F.xxhash64("text"))
+
+    def among(them: DataFrame, how: str) -> DataFrame:
+        few = F.broadcast(them) if them.count() <= broadcast_rows else them
+        few = few.select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"))
+        return kept.join(few, (kept[mark] == few["__t"]) & kept["doc_id"].eqNullSafe(few["__id"]), how)
+
+    kept = among(gone, "left_anti")
     if not twice.isEmpty():
-        again = fits(twice)
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        kept = among(twice, "left_anti").unionByName(among(twice, "left_semi").dropDuplicates(["doc_id", mark]))
     return kept.select(documents.columns)

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siltstone.llm._io import map_texts
+from siltstone.llm._io import free_name, map_texts
 from siltstone.llm._text import U, byte_values, members, mix, pieces, sieve_of, span_hashes
 
 LONGEST, CUT, SCALE = 16, 64, 2.5
@@ -200,13 +200,6 @@ class LanguageModel:
         return sums.argmax(axis=1), (post / post.sum(axis=1, keepdims=True)).max(axis=1), sums.max(axis=1) / np.maximum(size, 1)
 
 
-def free_name(name: str, columns: list[str]) -> str:
-    """``name``, longer where a column has it already."""
-    while name.lower() in (c.lower() for c in columns):
-        name += "_"
-    return name
-
-
 def held_out_column(doc: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc).cast("string")), F.lit(folds)) == fold, F.lit(False))
 

@@ -43,7 +43,7 @@ def test_components_of_odd_rows(odd, empty):
     rows = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(odd).collect()}
     assert rows == {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 3, 4), (None, 3, 4), (5, 1, 5), (6, 1, 6)}
     assert jaccard_join.jaccard_components(empty).count() == 0
-    assert sorted(r.doc_id or 0 for r in jaccard_join.drop_near_duplicates(odd).collect()) == [0, 1, 2, 3, 4, 5, 6]
+    assert sorted(r.doc_id or 0 for r in jaccard_join.drop_near_duplicates(odd).collect()) == [1, 2, 3, 4, 5, 6]
 
 
 def test_components_against_all_pairs(spark):
@@ -281,7 +281,8 @@ def test_bitmaps_rule_out_no_link():
             b = np.unique(np.concatenate([a[int(len(a) * rng.random() * 0.12) :], pool[1990 : 1990 + int(rng.integers(0, 10))]]))
         common = len(np.intersect1d(a, b))
         links = 100 * common >= 85 * (len(a) + len(b) - common)
-        may = jaccard_join.may_match(jaccard_join.bitmap(a), jaccard_join.bitmap(b), len(a), len(b), 85)
+        bits = np.array([jaccard_join.bitmap(a), jaccard_join.bitmap(b)], object)
+        may = jaccard_join.may_match(bits, np.array([len(a), len(b)]), np.array([0]), np.array([1]), 85)[0]
         assert may or not links
         ruled_out += not may
     assert ruled_out > 100
