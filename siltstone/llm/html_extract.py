@@ -330,8 +330,10 @@ def constant_blocks(rows: DataFrame, rules: WrapperRules) -> DataFrame:
 def host_wrappers(hosted: DataFrame, rows: DataFrame, constant: DataFrame, rules: WrapperRules) -> DataFrame:
     """(host, structure, wrapper as JSON) by aligning up to ``pages`` pages of each host and structure."""
     kinds = rows.where("kind = 0").groupBy("host", F.col("value").alias("structure"), "key").agg(F.min("place").alias("place"))
-    order = W.partitionBy("host", "structure").orderBy("key")
-    picked = materialize(kinds.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rules.pages).select("host", "structure", "place"), "picked")
+    few = kinds.withColumn("salt", F.pmod("key", F.lit(64)))  # a host may hold a third of all pages
+    for deal in (["host", "structure", "salt"], ["host", "structure"]):
+        few = few.withColumn("k", F.row_number().over(W.partitionBy(*deal).orderBy("key"))).where(F.col("k") <= rules.pages)
+    picked = materialize(few.select("host", "structure", "place"), "picked")
     few = F.broadcast(picked) if picked.count() <= 500_000 else picked
     sample = hosted.join(few, ["host", "place"]).select("host", "structure", "place", "html").dropDuplicates(["host", "structure", "place"]).join(constant, "host", "left")
 

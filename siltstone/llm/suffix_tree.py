@@ -39,7 +39,7 @@ class TreeRules:
     gain: float = 6.0
     state_gain: float = 10.0
     discount: float = 0.75
-    hot: int = 1 << 17
+    hot: int = 1 << 20
 
 
 def _i64(x: np.ndarray) -> pa.Array:
@@ -181,7 +181,8 @@ def suffix_tree_scores(documents: DataFrame, rules: TreeRules = TreeRules(), fol
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of ``documents``.
 
     A null or empty text is its end token alone. A row whose doc_id is null is not held out. Repeated
-    rows are counted and scored each. Without training rows every token has base probability 1. An
+    rows are counted and scored each. Counts that tie at the bound of the hot values are all in or all out, which
+    changes no score. Texts of any length are scored whole. Without training rows every token has base probability 1. An
     empty table gives no rows; columns but doc_id and text are not read.
     """
     docs = documents.select("doc_id", "text", held_out_column("doc_id", folds, fold).alias("held_out"))
