@@ -1,16 +1,25 @@
-"""Vector search: exact, by cells, and by product-quantised codes. Queries go out in blocks of bounded size."""
+"""Vector search: exact, by cells, and by product-quantised codes.
+
+A set of queries goes out in blocks of BLOCK, all of which one scan of the vectors meets. By cells, queries and
+vectors meet in groups of a cell, so that other cells are not scored; a large cell is several groups. By codes, a
+vector costs a table lookup for each part, and is never rebuilt. Rows without a vector are not searched.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+
+from siltstone.session import written
 
 BLOCK = 2048
+#: Vectors of a cell that are scored together.
+GROUP = 100_000
 
 
 def unit(v: Column) -> Column:
@@ -36,37 +45,88 @@ def _blocks(queries: DataFrame, query: str, vector: str) -> Iterator[tuple[list,
         yield ids, np.array(rows, np.float64)
 
 
-def flat_topk(base: DataFrame, queries: DataFrame, k: int, metric: str = "ip", key: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "vector", allowed: dict | None = None) -> DataFrame:
-    """(query, key, score, rank): the exact ``k`` best by inner product or squared distance; ties by key.
+def top_rows(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, place) of the ``k`` greatest scores of each row, all ties by ascending key."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+        i, j = np.nonzero(scores >= least[:, None])
+    else:
+        i, j = np.nonzero(np.ones(scores.shape, bool))
+    order = np.lexsort((keys[j], -scores[i, j], i))
+    i, j = i[order], j[order]
+    first = np.searchsorted(i, i)
+    keep = np.arange(len(i)) - first < k
+    return i[keep], j[keep]
 
-    Each task keeps k of each query from a batch, so what is shuffled does not grow with a batch. With
-    ``allowed`` (query -> cells) only rows of these in column ``cell`` count.
-    """
-    out = base.sparkSession.createDataFrame([], f"{query} long, {key} long, score double")
-    columns = [key, vector, *(["cell"] if allowed else [])]
-    for ids, q in _blocks(queries, query, query_vector):
-        shared = base.sparkSession.sparkContext.broadcast((ids, q, allowed and [sorted(allowed[i]) for i in ids]))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q, cells = shared.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x, keys = matrix(b[vector]), b[key].to_numpy()
-                s = q @ x.T if metric == "ip" else -((q * q).sum(axis=1)[:, None] - 2 * q @ x.T + (x * x).sum(axis=1))
-                s = np.round(s, 6)
-                if cells is not None:
-                    own = b["cell"].to_numpy()
-                    for i, c in enumerate(cells):
-                        s[i, ~np.isin(own, c)] = -np.inf
-                order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
-                best = np.take_along_axis(s, order, axis=1)
-                i, j = np.nonzero(np.isfinite(best))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[i]), pa.array(keys[order[i, j]]), pa.array(best[i, j] if metric == "ip" else -best[i, j])], names=[query, key, "score"])
-
-        out = out.union(base.select(*columns).mapInArrow(run, out.schema))
-    order = W.partitionBy(query).orderBy(F.desc("score") if metric == "ip" else F.asc("score"), key)
-    return out.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+def products(metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Scores of queries x vectors, greater is better, rounded so that sums in another order agree."""
+    if metric == "ip":
+        return lambda q, x: np.round(q @ x.T, 6)
+    return lambda q, x: np.round(-((q * q).sum(axis=1)[:, None] - 2 * q @ x.T + (x * x).sum(axis=1)), 6)
+
+
+def _ranked(found: DataFrame, k: int, key: str, query: str) -> DataFrame:
+    """The best ``k`` over all tasks; a distance is given as it is."""
+    order = W.partitionBy(query).orderBy(F.desc("score"), key)
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+
+
+def _scan(base: DataFrame, blocks: list[tuple], columns: list[str], score: Callable, k: int, key: str, query: str) -> DataFrame:
+    """The ``k`` best of each query of all ``blocks`` (ids, what ``score`` takes) in each batch of ``base``."""
+    spark = base.sparkSession
+    shared = [spark.sparkContext.broadcast(b) for b in blocks]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b[key].to_numpy()
+            for s in shared:
+                ids, asked = s.value
+                scores = score(asked, b)
+                i, j = top_rows(scores, keys, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[i]), pa.array(keys[j]), pa.array(scores[i, j])], names=[query, key, "score"])
+
+    return base.select(*columns).where(F.col(columns[1]).isNotNull()).mapInArrow(run, f"{query} long, {key} long, score double")
+
+
+def flat_topk(base: DataFrame, queries: DataFrame, k: int, metric: str = "ip", key: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "vector") -> DataFrame:
+    """(query, key, score, rank): the exact ``k`` best by inner product or squared distance; ties by key. Each task keeps
+    k of each query from a batch, so what is shuffled does not grow with a batch."""
+    score = products(metric)
+    asked = list(_blocks(queries.where(F.col(query_vector).isNotNull()), query, query_vector))
+    out = _ranked(_scan(base, asked, [key, vector], lambda q, b: score(q, matrix(b[vector])), k, key, query), k, key, query)
+    return out if metric == "ip" else out.withColumn("score", -F.col("score"))
+
+
+def cells_topk(base: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, nprobe: int, metric: str = "ip", key: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "vector") -> DataFrame:
+    """The same over ``base`` with ``cell``: a query meets the vectors of its ``nprobe`` best cells, in groups of GROUP."""
+    score, groups = products(metric), F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP)).cast("int")
+    sizes = written(base.groupBy("cell").agg(F.count("*").alias("n")).select("cell", groups.alias("groups")), "cells")
+    few = F.broadcast(sizes)  # a row for each cell of the index, whose number is a parameter
+    part = F.pmod(F.xxhash64(key), F.col("groups")).cast("int")
+    held = base.where(F.col(vector).isNotNull()).join(few, "cell").select("cell", part.alias("part"), key, F.col(vector).cast("array<double>").alias("v"))
+    probes = flat_topk(centroids.select("cell", "vector"), queries, nprobe, metric, key="cell", vector="vector", query=query, query_vector=query_vector)
+    asked = probes.select(query, "cell").join(queries.select(query, F.col(query_vector).cast("array<double>").alias("q")), query).join(few, "cell")
+    asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), query, "q")
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        if not one.num_rows or not two.num_rows:
+            return pa.table({query: pa.array([], pa.int64()), key: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        x, keys, ids = matrix(one["v"].combine_chunks()), one[key].to_numpy(), two[query].to_numpy()
+        q = matrix(two["q"].combine_chunks())
+        out = [[], [], []]
+        for at in range(0, len(ids), BLOCK):
+            s = score(q[at : at + BLOCK], x)
+            i, j = top_rows(s, keys, k)
+            for to, v in zip(out, (ids[at + i], keys[j], s[i, j]), strict=True):
+                to.append(v)
+        return pa.table(dict(zip((query, key, "score"), map(np.concatenate, out), strict=True)))
+
+    found = held.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInArrow(run, f"{query} long, {key} long, score double")
+    out = _ranked(found, k, key, query)
+    return out if metric == "ip" else out.withColumn("score", -F.col("score"))
 
 
 def assign_cells(base: DataFrame, centroids: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -84,48 +144,109 @@ def assign_cells(base: DataFrame, centroids: DataFrame, key: str = "vec_id", vec
     return base.mapInArrow(run, base.withColumn("cell", F.lit(0).cast("long")).schema)
 
 
-def nearest_cells(queries: DataFrame, centroids: DataFrame, nprobe: int, query: str = "query_id", vector: str = "vector") -> dict[int, set[int]]:
-    """Each query's ``nprobe`` best cells."""
-    found = flat_topk(centroids.select("cell", "vector"), queries, nprobe, key="cell", vector="vector", query=query, query_vector=vector)
-    out: dict[int, set[int]] = {}
-    for r in found.select(query, "cell").collect():
-        out.setdefault(r[0], set()).add(r[1])
-    return out
+def training_rows(base: DataFrame, rows: int, key: str, seed: int) -> DataFrame:
+    """About ``rows`` rows with a vector, by a hash of the key: the bounded sample that an index learns from."""
+    n = base.where(F.col("embedding").isNotNull()).count() if "embedding" in base.columns else base.count()
+    share = min(1.0, rows / max(1, n))
+    return base.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
 
 
-def train_cells(base: DataFrame, nlist: int, vector: str = "embedding", seed: int = 42) -> DataFrame:
-    """(cell, vector) by k-means on cosine distance; few rows mean fewer cells."""
-    rows = base.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    k = max(1, min(nlist, max(16, rows.count() // 39)))
-    centers = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=10).fit(rows).clusterCenters()
+def train_cells(base: DataFrame, nlist: int, vector: str = "embedding", seed: int = 42, key: str = "vec_id", sample: int = 200_000) -> DataFrame:
+    """(cell, vector) by k-means on cosine distance over about ``sample`` rows; few rows mean fewer cells."""
+    rows = training_rows(base.where(F.col(vector).isNotNull()), sample, key, seed).select(array_to_vector(F.col(vector).cast("array<double>")).alias("features")).cache()
+    try:
+        k = max(1, min(nlist, max(16, rows.count() // 39)))
+        centers = KMeans(k=k, seed=seed, distanceMeasure="cosine", maxIter=10).fit(rows).clusterCenters()
+    finally:
+        rows.unpersist()
     return base.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(centers)], "cell long, vector array<double>")
 
 
-def train_codebooks(base: DataFrame, parts: int, codes: int, vector: str = "embedding", seed: int = 42) -> np.ndarray:
-    """parts x codes x width: k-means of each slice of the vectors; the dimension must divide by ``parts``."""
-    dim = len(base.select(vector).first()[0])
-    if dim % parts:
-        raise ValueError(f"dimension {dim} does not divide into {parts} parts")
-    width, books = dim // parts, []
-    for m in range(parts):
-        rows = base.select(array_to_vector(F.slice(F.col(vector).cast("array<double>"), m * width + 1, width)).alias("features"))
-        centers = KMeans(k=codes, seed=seed + m, maxIter=8).fit(rows).clusterCenters()
-        books.append(np.stack([*centers, *[centers[-1]] * (codes - len(centers))]))
-    return np.stack(books)
+def train_codebooks(base: DataFrame, parts: int, codes: int, vector: str = "embedding", seed: int = 42, key: str = "vec_id", sample: int = 20_000, rounds: int = 10) -> np.ndarray:
+    """parts x codes x width: k-means of each slice of about ``sample`` vectors, which come to the driver; the
+    dimension must divide by ``parts``."""
+    rows = training_rows(base.where(F.col(vector).isNotNull()), sample, key, seed).select(vector).toArrow()
+    x = matrix(rows[vector].combine_chunks())
+    if not len(x) or x.shape[1] % parts:
+        raise ValueError(f"{len(x)} vectors of dimension {x.shape[1]} do not divide into {parts} parts")
+    x, rng = x.reshape(len(x), parts, -1), np.random.default_rng(seed)
+    books = np.stack([x[rng.choice(len(x), codes, replace=len(x) < codes), m] for m in range(parts)])
+    for _ in range(rounds):
+        for m in range(parts):
+            near = codes_of(x[:, m : m + 1], books[m : m + 1])[:, 0]
+            n = np.bincount(near, minlength=codes)
+            sums = np.stack([np.bincount(near, x[:, m, d], codes) for d in range(x.shape[2])], axis=1)
+            books[m] = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], books[m])
+    return books
+
+
+def codes_of(x: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The nearest code of each part of vectors (n x parts x width)."""
+    far = lambda m: (books[m] ** 2).sum(axis=1) - 2 * x[:, m] @ books[m].T
+    return np.stack([far(m).argmin(axis=1) for m in range(len(books))], axis=1).astype(np.uint8 if books.shape[1] <= 256 else np.uint16)
 
 
 def encode(base: DataFrame, books: np.ndarray, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, embedding): each vector as its code's vector, rebuilt, so that exact search over it is search by codes."""
+    """(key, codes): a byte for each part of the vector, two where there are more than 256 codes."""
     shared = base.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books = shared.value
         for b in batches:
-            if not b.num_rows:
-                continue
-            x = matrix(b[vector]).reshape(b.num_rows, len(books), -1)
-            code = np.stack([((x[:, m, None, :] - books[m]) ** 2).sum(axis=2).argmin(axis=1) for m in range(len(books))], axis=1)
-            back = books[np.arange(len(books)), code].reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([b[key], pa.array(list(code.astype(np.int16))), pa.array(list(back))], names=[key, "codes", "embedding"])
+            if b.num_rows:
+                code = codes_of(matrix(b[vector]).reshape(b.num_rows, len(books), -1), books)
+                yield pa.RecordBatch.from_arrays([b[key], pa.array([c.tobytes() for c in code], pa.binary())], names=[key, "codes"])
+
+    return base.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"{key} long, codes binary")
+
+
+def codes_topk(coded: DataFrame, books: np.ndarray, queries: DataFrame, k: int, key: str = "vec_id", query: str = "query_id", query_vector: str = "vector") -> DataFrame:
+    """(query, key, score, rank) by inner product with each vector's codes: a table of products of the query with all
+    codes is made once, and a vector's score is a sum of lookups."""
+    parts, kind = len(books), np.uint8 if books.shape[1] <= 256 else np.uint16
+    asked = [(ids, np.einsum("qmw,mcw->qmc", q.reshape(len(ids), parts, -1), books)) for ids, q in _blocks(queries.where(F.col(query_vector).isNotNull()), query, query_vector)]
+
+    def score(tables: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
+        code = np.frombuffer(b"".join(b["codes"].to_pylist()), kind).reshape(b.num_rows, parts)
+        out = np.zeros((len(tables), b.num_rows))
+        for m in range(parts):
+            out += tables[:, m, code[:, m]]
+        return np.round(out, 6)
+
+    return _ranked(_scan(coded, asked, [key, "codes"], score, k, key, query), k, key, query)
 
-    return base.select(key, vector).mapInArrow(run, f"{key} long, codes array<short>, embedding array<double>")
+
+def new_rows(base: DataFrame, stored: DataFrame, key: str = "vec_id") -> DataFrame:
+    """One row of each key of ``base`` that ``stored`` does not have."""
+    return base.join(stored.select(key), key, "left_anti").dropDuplicates([key])
+
+
+def save_cells(path: str, centroids: DataFrame) -> None:
+    centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+
+
+def add_vectors(spark: SparkSession, path: str, base: DataFrame, key: str = "vec_id", vector: str = "embedding") -> int:
+    """Add the vectors of new keys to the index at ``path``, a folder of files for each cell; returns how many.
+
+    The cells must have been trained. Keys that the index has, and repeats, are passed over; rows that lack a vector too.
+    """
+    centroids = spark.read.parquet(f"{path}/centroids")
+    rows = base.select(key, vector).where(F.col(vector).isNotNull())
+    try:
+        rows = new_rows(rows, spark.read.parquet(f"{path}/vectors"), key)
+    except Exception as e:  # the first rows of the index
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = rows.dropDuplicates([key])
+    added = written(assign_cells(rows, centroids, key, vector), "added")
+    added.repartition("cell").write.mode("append").partitionBy("cell").parquet(f"{path}/vectors")
+    return added.count()
+
+
+def index_keys(spark: SparkSession, path: str, key: str = "vec_id") -> DataFrame:
+    return spark.read.parquet(f"{path}/vectors").select(key)
+
+
+def load_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(vectors with their cell, centroids) of a written index."""
+    return spark.read.parquet(f"{path}/vectors").withColumn("cell", F.col("cell").cast("long")), spark.read.parquet(f"{path}/centroids")

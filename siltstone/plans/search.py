@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import bm25, retrieval as R, vectors as V
 from siltstone.plans._tables import ARTICLES, VECTOR_QUERIES, articles, benchmark_queries, sql_tokens, table, vector_queries
+from siltstone.session import work_path, written
 
 
 def docs(s, d):
@@ -17,11 +18,12 @@ def bm25_tf(s, d):
 
 
 def bm25_doc_length(s, d):
-    return bm25.document_lengths(bm25.term_counts(docs(s, d)))
+    return bm25.document_lengths(docs(s, d))
 
 
 def bm25_df_idf(s, d):
-    return bm25.document_frequencies(bm25.term_counts(docs(s, d)), docs(s, d).count()).withColumn("idf", F.round("idf", 6))
+    tf = written(bm25.counted(docs(s, d)), "counts")
+    return bm25.document_frequencies(tf, bm25.statistics(tf)[0]).withColumn("idf", F.round("idf", 6))
 
 
 def bm25_weights(s, d):
@@ -56,8 +58,8 @@ def ivf_assign(s, d):
 
 
 def ivf_search_nprobe(s, d, nprobe=3):
-    c, q = centroids(s, d), vector_queries(s, d)
-    return V.flat_topk(V.assign_cells(table(s, d, "embeddings").select("vec_id", "embedding"), c), q, 10, allowed=V.nearest_cells(q, c, nprobe))
+    c = centroids(s, d)
+    return V.cells_topk(V.assign_cells(table(s, d, "embeddings").select("vec_id", "embedding"), c), vector_queries(s, d), c, 10, nprobe)
 
 
 def ivf_recall_vs_flat(s, d):
@@ -65,15 +67,20 @@ def ivf_recall_vs_flat(s, d):
     return flat.join(ivf, ["query_id", "vec_id"], "left").groupBy("query_id").agg(F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
 
 
-def ivf_kmeans_search(s, d):
-    e, q = table(s, d, "embeddings").select("vec_id", "embedding"), vector_queries(s, d)
-    c = V.train_cells(e, 16)
-    return V.flat_topk(V.assign_cells(e, c), q, 10, allowed=V.nearest_cells(q, c, 8))
+def ivf_kmeans_search(s, d, nlist=16, nprobe=12):
+    """Trained cells, written and read again, so that a search reads what was added."""
+    path, e = work_path(s, "index"), table(s, d, "embeddings")
+    V.save_cells(path, V.train_cells(e, nlist))
+    V.add_vectors(s, path, e.where("vec_id % 2 = 0"))
+    V.add_vectors(s, path, e)
+    vectors, cells = V.load_cells(s, path)
+    return V.cells_topk(vectors, vector_queries(s, d), cells, 10, nprobe)
 
 
-def pq_encode_search(s, d):
+def pq_encode_search(s, d, parts=32, codes=256):
     e = table(s, d, "embeddings").select("vec_id", "embedding")
-    return V.flat_topk(V.encode(e, V.train_codebooks(e, 8, 64)), vector_queries(s, d), 10)
+    books = V.train_codebooks(e, parts, codes)
+    return V.codes_topk(V.encode(e, books), books, vector_queries(s, d), 10)
 
 
 def _rankings(s, d):
