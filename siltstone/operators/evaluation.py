@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import DoubleType
 
 from siltstone.functions.text import normal_answer
 
@@ -34,25 +30,47 @@ def exact_match(prediction: Column, golds: Column) -> Column:
     return F.exists(golds, lambda g: normal_answer(g) == p)
 
 
-@F.pandas_udf(DoubleType())
-def token_f1(prediction: pd.Series, gold: pd.Series) -> pd.Series:
-    """F1 of two normalised answers' tokens, as multisets."""
+def _common(a: Column, b: Column) -> Column:
+    """The size of the multiset intersection of two arrays of words."""
+    times = lambda x, w: F.size(F.filter(x, lambda y: y == w))
+    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, w: n + F.least(times(a, w), times(b, w)))
+
+
+def answer_words(c: Column) -> Column:
+    return F.filter(F.split(normal_answer(c), " "), lambda w: w != "")
+
+
+def token_prf(prediction: Column, golds: Column) -> Column:
+    """(f1, precision, recall) of normalised tokens as multisets, of the first gold answer with the greatest F1."""
+    p = answer_words(prediction)
 
-    def one(p: str, g: str) -> float:
-        a, b = (p or "").split(), (g or "").split()
-        common = (Counter(a) & Counter(b)).total()
-        if not common:
-            return float(a == b)
-        return round(2 * common / (len(a) + len(b)), 4)
+    def one(gold: Column) -> Column:
+        g = answer_words(gold)
+        n = _common(p, g)
+        part = lambda x: F.when(n > 0, x).otherwise(0.0)
+        return F.struct(part(2.0 * n / (F.size(p) + F.size(g))).alias("f1"), part(n / F.size(p)).alias("precision"), part(n / F.size(g)).alias("recall"))
 
-    return pd.Series([one(p, g) for p, g in zip(prediction, gold, strict=True)])
+    zero = F.struct(F.lit(0.0).alias("f1"), F.lit(0.0).alias("precision"), F.lit(0.0).alias("recall"))
+    best = F.aggregate(F.transform(F.coalesce(golds, F.array().cast("array<string>")), one), zero, lambda a, x: F.when(x["f1"] > a["f1"], x).otherwise(a))
+    return F.transform(F.array(best), lambda r: F.struct(*(F.round(r[c], 4).alias(c) for c in ("f1", "precision", "recall"))))[0]
+
+
+def token_f1(prediction: Column, gold: Column) -> Column:
+    """F1 of two normalised answers; of two empty ones 1."""
+    p, g = answer_words(prediction), answer_words(gold)
+    return F.when((F.size(p) == 0) & (F.size(g) == 0), 1.0).otherwise(token_prf(prediction, F.array(gold))["f1"])
 
 
 def citation_precision(cited: Column, truth: Column) -> Column:
+    """The share of citations that are evidence, repeats counted; without any, 1 where there is no evidence."""
     hits = F.size(F.filter(cited, lambda c: F.array_contains(truth, c)))
     return F.when(F.size(cited) == 0, F.when(F.size(truth) == 0, 1.0).otherwise(0.0)).otherwise(hits / F.size(cited))
 
 
+def correct_abstention(insufficient: Column, truth: Column) -> Column:
+    return insufficient != (F.size(truth) > 0)
+
+
 def latency_stats(logs: DataFrame, group: str, value: str) -> DataFrame:
     v = F.col(value)
     points = [F.round(F.percentile(v, F.lit(p / 100)), 4).alias(f"p{p}") for p in (50, 90, 95, 99)]

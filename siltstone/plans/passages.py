@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Window as W, functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import bm25, chunking as C, evaluation as E, grounding as G, profiling as P, storage as S
+from siltstone.operators import bm25, chunking as C, evaluation as E, grounding as G, runs as RU, storage as S
+from siltstone.operators.evidence import containing
 from siltstone.plans._tables import ARTICLES, articles, benchmark_queries, table
 from siltstone.plans.search import SQL as SEARCH
 from siltstone.streaming.ingest import ingest, rolling_latency
@@ -21,18 +22,6 @@ def rechunk(s, d):
     return C.rechunk(C.chunk_documents(articles(s, d)), C.ChunkRules(target=128, overlap=20, least=20)).drop("error")
 
 
-def chunk_quality(s, d):
-    b = C.body(F.col("text"))
-    return C.chunk_documents(articles(s, d)).agg(F.count("*").alias("n"), F.round(F.avg("token_count"), 4).alias("mean_tokens"), P.share(b.rlike(r"[.!?\"')\]]$")).alias("ends_well"), P.share(b.rlike(r"^[\p{Lu}\"'(\[]")).alias("starts_well"), P.share(F.col("section_path").endswith("Overview")).alias("overview"))
-
-
-def adjacent_overlap(s, d):
-    ws = F.split(C.body(F.col("text")), r"\s+")
-    nxt = F.lead(F.slice(ws, 1, 30)).over(W.partitionBy("doc_id").orderBy("seq"))
-    c = C.chunk_documents(articles(s, d)).select("doc_id", "seq", F.size(F.array_intersect(F.slice(ws, F.greatest(F.lit(1), F.size(ws) - 29), F.lit(30)), nxt)).alias("common"), nxt.alias("n"))
-    return c.where("n is not null").select("doc_id", "seq", F.least(F.lit(1.0), F.col("common") / 25).alias("overlap"))
-
-
 def chunk_id_codec(s, d):
     made = table(s, d, "documents").select("doc_id", (F.col("n_chars") % 65536).alias("seq")).withColumn("chunk_id", T.chunk_id(F.col("doc_id"), F.col("seq")))
     doc, seq = T.chunk_parts(F.col("chunk_id"))
@@ -67,14 +56,9 @@ def table_counts(s, d):
 
 
 def evidence(s, d):
-    """Documents that hold an item's text: those that share its rarest words are looked at, never all pairs."""
-    docs, items = table(s, d, "documents").select("doc_id", "text"), benchmark_queries(s, d)
-    words = docs.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("w"))
-    df = words.join(items.select(F.explode(T.words(F.col("query"))).alias("w")).distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df"))
-    inner = F.slice(T.words(F.col("query")), 2, F.greatest(F.lit(1), F.size(T.words(F.col("query"))) - 2))
-    rare = items.select("query_id", F.explode(inner).alias("w")).join(df, "w").groupBy("query_id").agg(F.min_by("w", F.struct("df", "w")).alias("w"))
-    found = words.join(rare, "w").join(items, "query_id").join(docs, "doc_id")
-    return found.where(F.contains("text", F.col("query"))).select("query_id", "doc_id", F.lit(1.0).alias("rel"))
+    """Documents that hold an item's text, whatever its length."""
+    found = containing(table(s, d, "documents").select("doc_id", "text"), benchmark_queries(s, d), "doc_id", "text", "query_id", "query")
+    return found.withColumn("rel", F.lit(1.0))
 
 
 def evidence_map(s, d):
@@ -95,7 +79,7 @@ def exact_match(s, d):
 
 
 def token_f1(s, d):
-    return _turns(s, d).select("conv_id", "turn", E.token_f1(T.normal_answer(F.col("reply")), T.normal_answer(F.col("text"))).alias("f1"))
+    return _turns(s, d).select("conv_id", "turn", E.token_f1(F.col("reply"), F.col("text")).alias("f1"))
 
 
 def latency_stats(s, d):
@@ -133,7 +117,7 @@ def stream_ingest_available_now(s, d):
     return s.read.parquet(f"{root}/out").drop("batch")
 
 
-QUERIES = {f.__name__: f for f in (chunk_documents, rechunk, chunk_quality, adjacent_overlap, chunk_id_codec, upsert_last_wins, insert_ignore_first_wins, dedupe_docs, resume_anti_join, table_counts, evidence_map, retrieval_metrics, exact_match, token_f1, latency_stats, stage_hours, pareto_frontier, prompt_sanitize, extractive_answer, citation_list, stream_ingest_available_now)}
+QUERIES = {f.__name__: f for f in (chunk_documents, rechunk, chunk_id_codec, upsert_last_wins, insert_ignore_first_wins, dedupe_docs, resume_anti_join, table_counts, evidence_map, retrieval_metrics, exact_match, token_f1, latency_stats, stage_hours, pareto_frontier, prompt_sanitize, extractive_answer, citation_list, stream_ingest_available_now)}
 
 _EVIDENCE = "SELECT item_id AS query_id, doc_id, 1.0::DOUBLE AS rel FROM benchmark b, documents d WHERE contains(d.text, b.text)"
 _TURNS = "(SELECT conv_id, turn, role, text, lead(text) OVER w AS reply, lead(role) OVER w AS reply_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
