@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.plans import passages, records, search, text_profile
+from siltstone.plans import modes, passages, records, search, text_profile
 
-GROUPS = (text_profile, search, passages, records)
+GROUPS = (text_profile, search, passages, records, modes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -125,10 +125,11 @@ _FLAT = _top(f"SELECT query_id, vec_id, round({_DOT}, 6) AS score FROM ({VECTOR_
 _CELLS = f"c AS (SELECT label::BIGINT AS cell, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label), cells AS (SELECT vec_id, embedding, cell FROM (SELECT vec_id, embedding, cell, row_number() OVER (PARTITION BY vec_id ORDER BY round({_DOT}, 6) DESC, cell) AS r FROM c, embeddings) WHERE r = 1)"
 _NEAR = _top(f"SELECT query_id, cell, round({_DOT}, 6) AS score FROM ({VECTOR_QUERIES}) q, (SELECT cell, v AS embedding FROM c)", "cell", 3)
 _IVF = _top(f"SELECT query_id, vec_id, round({_DOT}, 6) AS score FROM ({VECTOR_QUERIES}) q JOIN near USING (query_id) JOIN cells USING (cell)", "vec_id", 10)
-_FUSE = f"""WITH {_W}, {_SPARSE}, sparse AS ({_top('FROM scored', 'doc_id', 50)}),
+FUSED = f"""WITH {_W}, {_SPARSE}, sparse AS ({_top('FROM scored', 'doc_id', 50)}),
 dense AS ({_top(f"SELECT item_id AS query_id, e.vec_id AS doc_id, round({_DOT}, 6) AS score FROM benchmark b JOIN (SELECT vec_id, embedding AS v FROM embeddings) x ON x.vec_id = item_id, embeddings e", 'doc_id', 50)}),
 merged AS (SELECT query_id, doc_id, d.rank AS dense_rank, s.rank AS sparse_rank, round(coalesce(1.0 / (60 + d.rank), 0) + coalesce(1.0 / (60 + s.rank), 0), 8) AS rrf_score FROM dense d FULL JOIN sparse s USING (query_id, doc_id)),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, dense_rank ASC NULLS LAST, sparse_rank ASC NULLS LAST, doc_id) AS fused_rank FROM merged)"""
+RERANKED = f"a AS (SELECT item_id AS query_id, list_distinct({sql_tokens('text')}) AS terms FROM benchmark), h AS (SELECT doc_id, list_distinct({sql_tokens('text')}) AS held FROM documents), r AS (SELECT query_id, doc_id, fused_rank, round(len(list_intersect(terms, held)) / greatest(1, len(terms)), 6) AS rerank_score FROM fused JOIN a USING (query_id) JOIN h USING (doc_id) WHERE fused_rank <= 50), reranked AS (SELECT query_id, doc_id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank) AS final_rank FROM r)"
 SQL = {
     "bm25_tf": f"WITH {_TF} FROM tf",
     "bm25_doc_length": f"WITH {_TF} SELECT doc_id, sum(tf)::BIGINT AS dl FROM tf GROUP BY doc_id",
@@ -141,7 +142,7 @@ SQL = {
     "ivf_assign": f"WITH {_CELLS} SELECT vec_id, cell FROM cells",
     "ivf_search_nprobe": f"WITH {_CELLS}, near AS (SELECT query_id, cell FROM ({_NEAR})) {_IVF}",
     "ivf_recall_vs_flat": f"WITH {_CELLS}, near AS (SELECT query_id, cell FROM ({_NEAR})), f AS ({_FLAT}), i AS ({_IVF}) SELECT f.query_id, round(count(i.vec_id) / count(*), 4) AS recall FROM f LEFT JOIN i ON f.query_id = i.query_id AND f.vec_id = i.vec_id GROUP BY f.query_id",
-    "rrf_fuse": f"{_FUSE} SELECT query_id, doc_id, dense_rank, sparse_rank, rrf_score, fused_rank FROM fused",
-    "hybrid_search": f"{_FUSE} SELECT query_id, doc_id, rrf_score, fused_rank, coalesce(title, 'Article ' || doc_id) AS title, coalesce(url, '') AS url FROM fused LEFT JOIN {ARTICLES} USING (doc_id) WHERE fused_rank <= 5",
-    "rerank_topk": f"{_FUSE}, a AS (SELECT item_id AS query_id, list_distinct({sql_tokens('text')}) AS terms FROM benchmark), h AS (SELECT doc_id, list_distinct({sql_tokens('text')}) AS held FROM documents), r AS (SELECT query_id, doc_id, fused_rank, round(len(list_intersect(terms, held)) / greatest(1, len(terms)), 6) AS rerank_score FROM fused JOIN a USING (query_id) JOIN h USING (doc_id) WHERE fused_rank <= 50) SELECT query_id, doc_id, rerank_score, final_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank) AS final_rank FROM r) WHERE final_rank <= 5",
+    "rrf_fuse": f"{FUSED} SELECT query_id, doc_id, dense_rank, sparse_rank, rrf_score, fused_rank FROM fused",
+    "hybrid_search": f"{FUSED} SELECT query_id, doc_id, rrf_score, fused_rank, coalesce(title, 'Article ' || doc_id) AS title, coalesce(url, '') AS url FROM fused LEFT JOIN {ARTICLES} USING (doc_id) WHERE fused_rank <= 5",
+    "rerank_topk": f"{FUSED}, {RERANKED} SELECT query_id, doc_id, rerank_score, final_rank FROM reranked WHERE final_rank <= 5",
 }

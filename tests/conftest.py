@@ -25,13 +25,15 @@ def spark():
 
 
 def _plain(v):
+    if getattr(v, "shape", ()) or isinstance(v, list):
+        return str([_plain(x) for x in v])
     if v is None or str(v) in ("<NA>", "NaT") or v != v:
         return "null"
     if hasattr(v, "item") and not getattr(v, "shape", ()):
         v = v.item()
     if isinstance(v, bool):
         return str(v)
-    return f"{float(v):.6g}" if isinstance(v, (int, float)) else str(list(v) if hasattr(v, "tolist") and getattr(v, "shape", ()) else v)
+    return f"{float(v):.6g}" if isinstance(v, (int, float)) else str(v)
 
 
 @pytest.fixture(scope="session")
