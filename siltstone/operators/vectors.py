@@ -100,13 +100,14 @@ def flat_topk(base: DataFrame, queries: DataFrame, k: int, metric: str = "ip", k
     return out if metric == "ip" else out.withColumn("score", -F.col("score"))
 
 
-def cells_topk(base: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, nprobe: int, metric: str = "ip", key: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "vector") -> DataFrame:
-    """The same over ``base`` with ``cell``: a query meets the vectors of its ``nprobe`` best cells, in groups of GROUP."""
+def cells_topk(base: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, nprobe: int, metric: str = "ip", key: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "vector", books: np.ndarray | None = None) -> DataFrame:
+    """The same over ``base`` with ``cell``: a query meets the vectors of its ``nprobe`` best cells, in groups of GROUP.
+    With ``books`` the column ``vector`` holds codes, scored by lookups."""
     score, groups = products(metric), F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP)).cast("int")
     sizes = written(base.groupBy("cell").agg(F.count("*").alias("n")).select("cell", groups.alias("groups")), "cells")
     few = F.broadcast(sizes)  # a row for each cell of the index, whose number is a parameter
     part = F.pmod(F.xxhash64(key), F.col("groups")).cast("int")
-    held = base.where(F.col(vector).isNotNull()).join(few, "cell").select("cell", part.alias("part"), key, F.col(vector).cast("array<double>").alias("v"))
+    held = base.where(F.col(vector).isNotNull()).join(few, "cell").select("cell", part.alias("part"), key, (F.col(vector) if books is not None else F.col(vector).cast("array<double>")).alias("v"))
     probes = flat_topk(centroids.select("cell", "vector"), queries, nprobe, metric, key="cell", vector="vector", query=query, query_vector=query_vector)
     asked = probes.select(query, "cell").join(queries.select(query, F.col(query_vector).cast("array<double>").alias("q")), query).join(few, "cell")
     asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), query, "q")
@@ -114,11 +115,12 @@ def cells_topk(base: DataFrame, queries: DataFrame, centroids: DataFrame, k: int
     def run(one: pa.Table, two: pa.Table) -> pa.Table:
         if not one.num_rows or not two.num_rows:
             return pa.table({query: pa.array([], pa.int64()), key: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x, keys, ids = matrix(one["v"].combine_chunks()), one[key].to_numpy(), two[query].to_numpy()
-        q = matrix(two["q"].combine_chunks())
+        keys, ids, q = one[key].to_numpy(), two[query].to_numpy(), matrix(two["q"].combine_chunks())
+        x = matrix(one["v"].combine_chunks()) if books is None else one["v"]
         out = [[], [], []]
         for at in range(0, len(ids), BLOCK):
-            s = score(q[at : at + BLOCK], x)
+            some = q[at : at + BLOCK]
+            s = score(some, x) if books is None else lookups(code_tables(some, books), x)
             i, j = top_rows(s, keys, k)
             for to, v in zip(out, (ids[at + i], keys[j], s[i, j]), strict=True):
                 to.append(v)
@@ -200,19 +202,26 @@ def encode(base: DataFrame, books: np.ndarray, key: str = "vec_id", vector: str
     return base.select(key, vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"{key} long, codes binary")
 
 
+def code_tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """query x part x code: the products of each query's parts with all codes."""
+    return np.einsum("qmw,mcw->qmc", q.reshape(len(q), len(books), -1), books)
+
+
+def lookups(tables: np.ndarray, codes: pa.Array) -> np.ndarray:
+    """Scores of queries x rows: the sums of the rows' entries in the queries' tables."""
+    kind = np.uint8 if tables.shape[2] <= 256 else np.uint16
+    code = np.frombuffer(b"".join(codes.to_pylist()), kind).reshape(len(codes), tables.shape[1])
+    out = np.zeros((len(tables), len(codes)))
+    for m in range(tables.shape[1]):
+        out += tables[:, m, code[:, m]]
+    return np.round(out, 6)
+
+
 def codes_topk(coded: DataFrame, books: np.ndarray, queries: DataFrame, k: int, key: str = "vec_id", query: str = "query_id", query_vector: str = "vector") -> DataFrame:
     """(query, key, score, rank) by inner product with each vector's codes: a table of products of the query with all
     codes is made once, and a vector's score is a sum of lookups."""
-    parts, kind = len(books), np.uint8 if books.shape[1] <= 256 else np.uint16
-    asked = [(ids, np.einsum("qmw,mcw->qmc", q.reshape(len(ids), parts, -1), books)) for ids, q in _blocks(queries.where(F.col(query_vector).isNotNull()), query, query_vector)]
-
-    def score(tables: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
-        code = np.frombuffer(b"".join(b["codes"].to_pylist()), kind).reshape(b.num_rows, parts)
-        out = np.zeros((len(tables), b.num_rows))
-        for m in range(parts):
-            out += tables[:, m, code[:, m]]
-        return np.round(out, 6)
-
+    asked = [(ids, code_tables(q, books)) for ids, q in _blocks(queries.where(F.col(query_vector).isNotNull()), query, query_vector)]
+    score = lambda tables, b: lookups(tables, b["codes"])
     return _ranked(_scan(coded, asked, [key, "codes"], score, k, key, query), k, key, query)
 
 

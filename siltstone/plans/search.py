@@ -83,6 +83,13 @@ def pq_encode_search(s, d, parts=32, codes=256):
     return V.codes_topk(V.encode(e, books), books, vector_queries(s, d), 10)
 
 
+def ivf_pq_search(s, d, nlist=16, nprobe=12, parts=32, codes=256):
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    cells, books = V.train_cells(e, nlist), V.train_codebooks(e, parts, codes)
+    coded = V.encode(e, books).join(V.assign_cells(e, cells).select("vec_id", "cell"), "vec_id")
+    return V.cells_topk(coded, vector_queries(s, d), cells, 10, nprobe, vector="codes", books=books)
+
+
 def _rankings(s, d):
     q = benchmark_queries(s, d)
     asked = q.join(table(s, d, "embeddings"), F.col("query_id") == F.col("vec_id")).select("query_id", F.col("embedding").alias("vector"))
@@ -107,7 +114,7 @@ def rerank_topk(s, d):
     return R.lexical_rerank(fused, q, docs(s, d), 5).select("query_id", "doc_id", "rerank_score", "final_rank")
 
 
-QUERIES = {f.__name__: f for f in (bm25_tf, bm25_doc_length, bm25_df_idf, bm25_weights, bm25_search_batch, l2_normalize, flat_ip_topk, flat_l2_topk, ivf_assign, ivf_search_nprobe, ivf_recall_vs_flat, ivf_kmeans_search, pq_encode_search, rrf_fuse, hybrid_search, rerank_topk)}
+QUERIES = {f.__name__: f for f in (bm25_tf, bm25_doc_length, bm25_df_idf, bm25_weights, bm25_search_batch, l2_normalize, flat_ip_topk, flat_l2_topk, ivf_assign, ivf_search_nprobe, ivf_recall_vs_flat, ivf_kmeans_search, pq_encode_search, ivf_pq_search, rrf_fuse, hybrid_search, rerank_topk)}
 
 _TF = f"tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({sql_tokens('text')}) AS term FROM documents) GROUP BY ALL)"
 _W = f"""{_TF}, dl AS (SELECT doc_id, sum(tf)::BIGINT AS dl FROM tf GROUP BY doc_id), n AS (SELECT count(*) AS n, (SELECT sum(dl) FROM dl) / greatest(1, count(*)) AS avgdl FROM documents),

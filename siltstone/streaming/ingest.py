@@ -56,5 +56,5 @@ def embed_stream(spark: SparkSession, passages: str, target: str, checkpoint: st
 
 def rolling_latency(logs: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts and mean by window and endpoint over a stream or a table of (ts, event_type, value)."""
-    timed = logs.withWatermark("ts", late) if logs.isStreaming else logs
+    timed = logs.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if logs.isStreaming else logs
     return timed.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean")).select(F.col("w.start").alias("start"), "event_type", "n", "mean")
