@@ -262,7 +262,7 @@ def test_pipeline_stages(spark):
         columns, docs = docs.columns, stage(spark, docs, DATA)
         assert name == "mixing" or docs.columns == columns
         docs = docs.cache()
-        assert 0.5 * before < docs.count() <= before
+        assert name == "mixing" or 0.5 * before < docs.count() <= before
 
 
 def test_base32_digest():
