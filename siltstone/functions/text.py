@@ -11,13 +11,14 @@ STOP_WORDS = tuple(
     "should so some such than that the their them then there they this through to too under very was we were what when where which who whom why will with would you your".split()
 )
 URL = r"(?i)^https?://[^\s/$.?#].[^\s]*$"
+# What counts as markup.
 MARKUP = {
-    "has_html": r"(?i)<(?:div|span|p|br|table|tr|td|ref|b|i|a|ul|li)[^>]*>",
-    "has_template": r"\{\{",
-    "has_table": r"\{\|",
-    "has_heading": r"(?m)^={2,5}[^=]",
-    "has_link": r"\[\[",
-    "has_ref": r"(?i)<ref",
+    "has_html": r"(?i)<(?:div|span|p|a|table|tr|td|th|ul|ol|li|b|i|strong|em|br|hr)\b[^>]*>",
+    "has_template": r"(?s)\{\{.*?\}\}",
+    "has_table": r"(?s)\{\|.*?\|\}",
+    "has_heading": r"(?m)^={2,5}\s*.*?\s*={2,5}",
+    "has_link": r"\[\[.*?\]\]",
+    "has_ref": r"(?i)<ref\b[^>]*>",
 }
 
 

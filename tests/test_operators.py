@@ -47,3 +47,22 @@ def test_storage(spark):
     new = spark.createDataFrame([(2, "c", 1), (3, "d", 1)], old.schema)
     assert {(r.k, r.x) for r in S.upsert_last_wins(old, new, "k", F.col("v")).collect()} == {(1, "a"), (2, "c"), (3, "d")}
     assert {(r.k, r.x) for r in S.insert_ignore(old, new, "k", F.col("v")).collect()} == {(1, "a"), (2, "b"), (3, "d")}
+
+
+def test_graded_gains(spark):
+    import math
+
+    runs = spark.createDataFrame([(1, 5, 2), (1, 6, 3), (1, 9, 1)], "query_id long, doc_id long, rank long")
+    truth = spark.createDataFrame([(1, 5, 2.0), (1, 6, 0.5), (1, 7, 1.0)], "query_id long, doc_id long, rel double")
+    got = E.retrieval_metrics(runs, truth).first()
+    gain = lambda rel, rank: (2**rel - 1) / math.log2(rank + 1)
+    want = (gain(2, 2) + gain(0.5, 3)) / (gain(2, 1) + gain(1, 2) + gain(0.5, 3))
+    assert got.ndcg_5 == pytest.approx(want, abs=1e-6) and got.recall_5 == pytest.approx(2 / 3, abs=1e-6) and got.mrr == 0.5
+
+
+def test_token_scores_of_several_golds(spark):
+    rows = [("the cat sat", ["a cat", "cat sat down"], "r"), ("", ["x"], "r"), ("x", [], "r"), ("x", None, "r"), ("b b", ["b"], "r")]
+    got = spark.createDataFrame(rows, "p string, g array<string>, f1 string").select(E.token_prf(F.col("p"), F.col("g")).alias("r")).select("r.*").collect()
+    assert [tuple(r) for r in got] == [(0.8, 1.0, 0.6667), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0), (0.6667, 0.5, 1.0)]
+    cited = spark.createDataFrame([([1, 1, 2], [1]), ([], []), ([], [1])], "c array<long>, t array<long>")
+    assert [round(r[0], 4) for r in cited.select(E.citation_precision(F.col("c"), F.col("t"))).collect()] == [0.6667, 1.0, 0.0]
