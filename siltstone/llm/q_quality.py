@@ -15,9 +15,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql(rules: RepetitionRules = RepetitionRules()) -> str:
     lengths = sorted({n for n, _ in rules.limits} | {rules.window})
+    most = lengths[-1]
+    gram = lambda n: f"CASE WHEN q + {n - 1} <= m THEN hash(concat_ws(chr(1), w{''.join(f', w{i}' for i in range(1, n))})) END"
     marked = "".join(
-        f""", g{n} AS (SELECT k, p, count(*) OVER (PARTITION BY k, hash(ws[p:p+{n - 1}])) > 1 AS twice FROM d, unnest(range(1, len(ws) - {n - 2})) t(p)),
-        c{n} AS (SELECT k, count(*) AS words, sum(length(w)) AS chars FROM (SELECT d.k, q, ws[q] AS w FROM (SELECT DISTINCT k, p + o AS q FROM g{n}, range({n}) r(o) WHERE twice) x JOIN d ON d.k = x.k) GROUP BY k)"""
+        f""", g{n} AS (SELECT k, q, w, q + {n - 1} <= m AND count(*) OVER (PARTITION BY k, {gram(n)}) > 1 AS twice FROM ahead),
+        c{n} AS (SELECT k, count(*) AS words, sum(length(w)) AS chars FROM (SELECT k, w, max(twice::INT) OVER (PARTITION BY k ORDER BY q ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM g{n}) WHERE inside = 1 GROUP BY k)"""
         for n in lengths
     )
     joins = "".join(f" LEFT JOIN c{n} USING (k)" for n in lengths)
@@ -25,6 +27,7 @@ def sql(rules: RepetitionRules = RepetitionRules()) -> str:
     ok = " AND ".join([f"dup_line_chars <= {rules.line_limit} * line_chars", *(f"dup_chars_{n} <= {x} * word_chars" for n, x in rules.limits)])
     return f"""
     WITH d AS (SELECT doc_id, row_number() OVER () AS k, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    ahead AS (SELECT *, {", ".join(f"lead(w, {i}) OVER o AS w{i}" for i in range(1, most))} FROM (SELECT k, unnest(ws) AS w, generate_subscripts(ws, 1) AS q, len(ws) AS m FROM d) WINDOW o AS (PARTITION BY k ORDER BY q)),
     lines AS (SELECT k, i, line, row_number() OVER (PARTITION BY k, line ORDER BY i) > 1 AS again FROM (SELECT k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
     l AS (SELECT k, count(*) FILTER (again) AS n_dup, coalesce(sum(length(line)) FILTER (again), 0) AS dup_chars, sum(length(line)) AS all_chars FROM lines GROUP BY k)
     {marked},
