@@ -39,7 +39,7 @@ class TreeRules:
     gain: float = 6.0
     state_gain: float = 10.0
     discount: float = 0.75
-    hot: int = 1 << 20
+    hot: int = 1 << 18
 
 
 def _i64(x: np.ndarray) -> pa.Array:
