@@ -6,7 +6,7 @@ enumerating costs as much as the lists are expected to. Lists are scanned for li
 that no group of near copies is expanded into all pairs: first each member against the list's hub,
 the member with the fewest rarer shingles; then, exactly, only pairs whose ends the first step has
 left in different components. Copies are one set from the start. Before whole sets travel, bitmaps of
-about a bit a shingle bound each pair's difference from below and rule out what cannot link.
+four to eight bits a shingle bound each pair's difference from below and rule out what cannot link.
 """
 
 from __future__ import annotations
@@ -61,16 +61,17 @@ def fingerprint(s: np.ndarray) -> int:
         return int((mix(s ^ U(0xA0761D6478BD642F)).sum(dtype=U) + U(len(s))).astype(U).view(np.int64))
 
 
-def bitmap(s: np.ndarray, most: int = 15) -> bytes:
-    """Occupied slots of a table of a power of two bits, at least the set's size (up to 2**most)."""
-    table = np.zeros(1 << max(6, min(most, len(s).bit_length())), bool)
+def bitmap(s: np.ndarray, most: int = 17) -> bytes:
+    """Occupied slots of a table of a power of two bits, at least four times the set's size (up to 2**most)."""
+    table = np.zeros(1 << max(6, min(most, len(s).bit_length() + 2)), bool)
     table[(s & U(len(table) - 1)).astype(np.int64)] = True
     return np.packbits(table, bitorder="little").tobytes()
 
 
 def may_match(bits: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray, percent: int, chunk: int = 1 << 14) -> np.ndarray:
     """For pairs of places in ``bits`` (bitmaps of sets of ``n`` shingles): false only where they differ in more places
-    than a link allows. The wider bitmap of a pair is folded to the narrower's width."""
+    than a link allows. The wider bitmap of a pair is folded to the narrower's width; what an eighth of that already rules
+    out is not compared in full."""
     out = np.zeros(len(p), bool)
     width = np.array([len(x) for x in bits], np.int64)
     common = -(-percent * (n[p] + n[q]) // (100 + percent))
@@ -78,12 +79,16 @@ def may_match(bits: np.ndarray, n: np.ndarray, p: np.ndarray, q: np.ndarray, per
     for w in np.unique(least).tolist():
         same = np.flatnonzero(least == w)
         rows = np.unique(np.concatenate([p[same], q[same]]))
-        table = np.stack([np.bitwise_or.reduce(np.frombuffer(bits[r], np.uint8).reshape(-1, w)) for r in rows])
+        table = np.stack([np.bitwise_or.reduce(np.frombuffer(bits[r], U).reshape(-1, w // 8)) for r in rows])
+        short = np.bitwise_or.reduce(table.reshape(len(rows), -1, max(1, w // 64)), axis=1)
         for i in range(0, len(same), chunk):
             at = same[i : i + chunk]
-            u, v = table[np.searchsorted(rows, p[at])], table[np.searchsorted(rows, q[at])]
-            more = lambda x, y: np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
-            out[at] = (more(u, v) <= n[p[at]] - common[at]) & (more(v, u) <= n[q[at]] - common[at])
+            for t in (short, table):
+                x, y = t[np.searchsorted(rows, p[at])], t[np.searchsorted(rows, q[at])]
+                shared = np.bitwise_count(x & y).sum(axis=1, dtype=np.int64)
+                own = [np.bitwise_count(z).sum(axis=1, dtype=np.int64) for z in (x, y)]
+                at = at[(own[0] - shared <= n[p[at]] - common[at]) & (own[1] - shared <= n[q[at]] - common[at])]
+            out[at] = True
     return out
 
 
@@ -300,13 +305,30 @@ def _bitmap(spark: SparkSession, keys: DataFrame, bits: int):
     return spark.sparkContext.broadcast(table.reshape(-1))
 
 
+def _cells(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, pos, n, h, root, hub, c): the members of lists that hold two components, to be compared with each other.
+
+    Lists whose hubs are of one component mostly hold the same near copies over again. Where it is less work, their
+    members stand together once, each at its first place, and every pair of them is compared once instead of in each list."""
+    of = roots.select(F.col("node").alias("h"), "root")
+    top = roots.select(F.col("node").alias("hub"), F.col("root").alias("top"))
+    named = lists.join(of, "h", "left").join(top, "hub", "left").select("key", "pos", "n", "h", F.coalesce("root", "h").alias("root"), "hub", F.coalesce("top", "hub").alias("top"))
+    held = named.groupBy("key").agg(F.count("*").alias("c"), *(f(x).alias(f"{x}{i}") for x in ("root", "hub", "top") for i, f in enumerate((F.min, F.max))))
+    wide = held.where("root0 <> root1 and (c > 2 or hub0 <> hub1)").select("key", "c", F.when(F.col("top0") == F.col("top1"), F.col("top0")).alias("g"))
+    shared = materialize(named.join(wide, "key").select("key", "pos", "n", "h", "root", "hub", "c", "g"), "shared")
+    once = materialize(shared.where("g is not null").groupBy("g", "h").agg(F.min("pos").alias("pos"), F.min("n").alias("n"), F.min("root").alias("root"), F.sum("c").alias("w")), "once")
+    whole = once.groupBy("g").agg(F.count("*").alias("c"), F.sum("w").alias("w")).where("c * c < w").select("g", "c")
+    # no hub: a pair found in several lists may be a hub's in some of them only
+    joined = once.join(whole, "g").select(F.xxhash64("g", F.lit("whole")).alias("key"), "pos", "n", "h", "root", F.col("h").alias("hub"), "c")
+    return joined.union(shared.join(whole, "g", "left_anti").select("key", "pos", "n", "h", "root", "hub", "c"))
+
+
 def _rest(lists: DataFrame, roots: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list's members that lie in different components and may link, by sizes, places and bitmaps; long lists
+    """Pairs of a cell's members that lie in different components and may link, by sizes, places and bitmaps; large cells
     by pairs of blocks. Only pairs that pass leave a task."""
-    named = lists.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("key", "pos", "n", "h", F.coalesce("root", "h").alias("root"), F.col("hub"))
-    wide = named.groupBy("key").agg(F.count("*").alias("c"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("hub").alias("h1"), F.min("hub").alias("h0")).where("r0 <> r1 and (c > 2 or h0 <> h1)").select("key", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
-    cells = named.join(wide, "key").join(bitmaps.select("h", "bits"), "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("h"), blocks).cast("int")
+    cells = _cells(lists, roots).join(bitmaps.select("h", "bits"), "h").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     cells = cells.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "pos", "n", "h", "root", "hub", "bits")
 
     def emit(c: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:

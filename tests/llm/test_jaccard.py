@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+
 from siltstone.llm import jaccard_join as J
 
 ROWS = "doc_id string, text string, t string, h long, n int, component_id long"
@@ -44,3 +46,24 @@ def test_boilerplate_lists_against_all_pairs(spark):
     J.BLOCK = kept
     assert got == {docs[k][0]: least[root[k]] for k in range(len(docs))}
     assert {r.doc_id for r in J.drop_near_duplicates(df).collect()} == set(least.values())
+
+
+def test_lists_of_the_same_copies_are_compared_once(spark):
+    # forty lists under two hubs of one component hold the same thirty sets, and one list of another hub stays by itself
+    rows = [(k, 0, False, k % 5 + h % 3, 100, h, 0, 100, k % 2) for k in range(40) for h in range(30)]
+    rows += [(99, 0, False, 0, 100, h, 0, 100, 50) for h in (50, 51, 52)]
+    lists = spark.createDataFrame(rows, "key long, salt int, split boolean, pos int, n int, h long, hub_pos int, hub_n int, hub long")
+    roots = spark.createDataFrame([(h, 0) for h in range(20)], "node long, root long")
+    cells = J._cells(lists, roots).collect()
+    assert sorted((r.h, r.pos, r.root, r.c) for r in cells if r.key != 99) == [(h, h % 3, 0 if h < 20 else h, 30) for h in range(30)]
+    assert sorted((r.h, r.hub, r.c) for r in cells if r.key == 99) == [(h, 50, 3) for h in (50, 51, 52)]
+
+
+def test_bitmaps_tell_near_copies_apart():
+    rnd = np.random.default_rng(3)
+    base = np.unique(rnd.integers(0, 1 << 63, 150).astype(J.U))
+    sets = [np.unique(np.concatenate([rnd.permutation(base)[10:], rnd.integers(0, 1 << 63, 10).astype(J.U)])) for _ in range(60)]
+    p, q = np.triu_indices(60, 1)
+    linked = [100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j])) for i, j in zip(p, q, strict=True)]
+    may = J.may_match(np.array([J.bitmap(s) for s in sets], object), np.array([len(s) for s in sets]), p, q, 85)
+    assert not any(linked) and may.mean() < 0.01
