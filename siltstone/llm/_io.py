@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from siltstone.session import work_path
 
@@ -46,3 +46,20 @@ def discard(*tables: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def nth_values(values: DataFrame, ranks: list[int]) -> list[float]:
+    """The values at ``ranks`` (from 0) of the only column of ``values`` in ascending order, exactly: counted in bins of
+    1/10,000, then each value of the bins that hold a rank."""
+    v = F.col(values.columns[0])
+    bins = sorted((r["b"], r["k"]) for r in values.groupBy(F.floor(v * 10_000).alias("b")).agg(F.count("*").alias("k")).collect())
+    out, before = {}, 0
+    for b, k in bins:
+        some = [r for r in ranks if before <= r < before + k]
+        at = before
+        if some:
+            for x, times in sorted(tuple(r) for r in values.where(F.floor(v * 10_000) == b).groupBy(v).agg(F.count("*")).collect()):
+                out |= {r: x for r in some if at <= r < at + times}
+                at += times
+        before += k
+    return [out[r] for r in ranks]
