@@ -2,7 +2,7 @@
 
 The pieces are those of a public tokenizer's vocabulary, which is never trained; what is learned is
 each language's probability of each piece, by expectation-maximisation over all segmentations of the
-words of a bounded sample of labelled texts. A text's likelihood in a language is the product over its
+words of all labelled texts, on the executors. A text's likelihood in a language is the product over its
 words of the forward algorithm's sum over all ways to cut the word into pieces, however long it is. Words
 repeat, so the sum is made once for each distinct word of a run of rows.
 """
@@ -18,8 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siltstone.llm._io import free_name, map_texts
-from siltstone.llm._text import U, byte_values, members, mix, pieces, sieve_of, span_hashes
+from siltstone.llm._io import discard, free_name, map_texts, materialize, nth_values
+from siltstone.llm._text import U, byte_values, give_back, members, mix, pieces, sieve_of, span_hashes
 
 LONGEST, CUT, SCALE = 16, 64, 2.5
 EXACT = byte_values(fold=False)
@@ -204,20 +204,8 @@ def held_out_column(doc: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc).cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
-def fit_language_model(labelled: DataFrame, vocabulary: str = VOCABULARY, rows_per_language: int = 250, rounds: int = 3, prior: float = 0.02, margin: float = 0.75) -> LanguageModel:
-    """Fit on (text, lang) rows with text and lang: about ``rows_per_language`` distinct texts of each language, chosen
-    by a hash of the text, all of them where there are fewer. Only word counts of this sample reach the driver.
-    ``margin``: how far under the sample's least likely hundredth, in log likelihood a byte, a text is in no learned
-    language. Texts and counts are bounded by the number of texts, not by their length."""
-    place = F.xxhash64("text", F.lit(17))
-    rows = labelled.where("text is not null and lang is not null").select("text", "lang", place.alias("place"))
-    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("place", 0.02).alias("n")).collect()}
-    languages = sorted(counts)
-    model = LanguageModel(read_vocabulary(vocabulary), languages)
-    if not languages:
-        return model
-    share = F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, rows_per_language / counts[k]))))[F.col("lang")]
-    sample = rows.where(F.pmod("place", F.lit(1 << 30)) < share * (1 << 30)).dropDuplicates(["lang", "place"])
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, ns: (lang, n) pairs) over all of ``rows`` (text, lang)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "text"):
@@ -226,21 +214,72 @@ def fit_language_model(labelled: DataFrame, vocabulary: str = VOCABULARY, rows_p
                 times = np.bincount(index, minlength=len(words))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(words, pa.binary()), pa.array(times)], names=["lang", "word", "n"])
 
-    table = map_texts(sample, count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toPandas()
-    table = table[table.word.map(len) > 1].sort_values(["word", "lang"])
-    words, index = np.unique(np.array([bytes(w) for w in table.word], object), return_inverse=True)
-    times = np.zeros((len(words), len(languages)))
-    times[index, np.searchsorted(np.array(languages, object), table.lang.to_numpy(object))] = table.n
-    if len(words):
-        model.fit(list(words), times, rounds, prior)
+    table = map_texts(rows.select("text", "lang"), count, "lang string, word binary, n long").where("length(word) > 1")
+    return table.groupBy("word", "lang").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("ns"))
+
+
+def expected_counts(words: DataFrame, model: LanguageModel, block: int = 20_000) -> np.ndarray:
+    """Expected counts of pieces by language over all of ``words`` (word, ns), summed on the executors; ``block`` words at
+    a time bound the memory of their segmentations. Words over CUT bytes are taken run by run."""
+    shared = words.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        at = {lang: k for k, lang in enumerate(m.languages)}
+        total = np.zeros((m.pieces.n, len(m.languages)))
+        for b in batches:
+            runs, times = [], []
+            for w, ns in zip(b["word"].to_pylist(), b["ns"].to_pylist(), strict=True):
+                row = np.zeros(len(m.languages))
+                for x in ns:
+                    row[at[x["lang"]]] = x["n"]
+                for k in range(0, len(w), CUT):
+                    runs.append(w[k : k + CUT])
+                    times.append(row)
+            for i in range(0, len(runs), block):
+                total += m.pieces.expected(runs[i : i + block], np.array(times[i : i + block]), m.p)
+        give_back()
+        some = np.flatnonzero(total.any(axis=1))
+        for k in range(len(m.languages)):
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), k, np.int64)), pa.array(total[some, k])], names=["piece", "k", "x"])
+
+    out = np.zeros(model.p.shape)
+    t = map_texts(words, run, "piece long, k long, x double").groupBy("piece", "k").agg(F.sum("x").alias("x")).toArrow()
+    out[t["piece"].to_numpy(), t["k"].to_numpy()] = t["x"].to_numpy()
+    return out
+
+
+def fit_language_model(labelled: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 3, prior: float = 0.02, margin: float = 0.75, floor: bool = True) -> LanguageModel:
+    """Fit on all distinct (text, lang) rows with text and lang, told apart by a hash of the text. The words are a table;
+    each round sums their expected counts on the executors, and only pieces by language come to the driver. ``margin``:
+    how far under the least likely hundredth of the labelled texts with a letter, in log likelihood a byte, a text is in no
+    learned language; without ``floor`` that, which takes a pass over the texts, is not found."""
+    rows = labelled.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text", F.lit(17)).alias("place"))
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    model = LanguageModel(read_vocabulary(vocabulary), languages)
+    words = materialize(word_counts(rows.dropDuplicates(["lang", "place"])), "words")
+    if not languages or words.isEmpty():
+        discard(words)
+        return model
+    for _ in range(rounds):
+        counts = expected_counts(words, model) + prior
+        model.p = counts / counts.sum(axis=0)
+    discard(words)
+    if floor:
         shared = labelled.sparkSession.sparkContext.broadcast(model)
 
         def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in pieces(batches, "text"):
-                yield pa.RecordBatch.from_arrays([pa.array(shared.value.predict(part["text"])[2])], names=["rate"])
-
-        least = map_texts(sample.where(F.col("text").rlike(LETTER)), rate, "rate double").agg(F.percentile("rate", F.lit(0.01))).first()[0]
-        model.floor = -np.inf if least is None else least - margin
+                yield pa.RecordBatch.from_arrays([part["lang"], part["place"], pa.array(shared.value.predict(part["text"])[2])], names=["lang", "place", "rate"])
+
+        rated = map_texts(rows.where(F.col("text").rlike(LETTER)), rate, "lang string, place long, rate double")
+        rates = materialize(rated.groupBy("lang", "place").agg(F.max("rate").alias("rate")).select("rate"), "rates")
+        size = rates.count()
+        if size:
+            place = (size - 1) * 0.01
+            low, high = nth_values(rates, [int(place), min(size - 1, int(place) + 1)])
+            model.floor = low + (high - low) * (place - int(place)) - margin
+        discard(rates)
     return model
 
 

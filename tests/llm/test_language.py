@@ -79,3 +79,15 @@ def test_gibberish_goes_and_text_stays(spark):
     assert L.drop_unknown_languages(odd, model).count() == 0
     have = pd.read_parquet(f"{DATA}/documents.parquet").text.fillna("").map(lambda t: any(c.isalpha() for c in t)).sum()
     assert L.drop_unknown_languages(docs, model).count() >= 0.98 * have
+
+
+def test_every_labelled_text_is_counted(spark):
+    texts = [f"common words and rare{k}" for k in range(700)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)] + [(700, "un mot", "fr")], "doc_id long, text string, lang string")
+    got = {bytes(r.word): {x.lang: x.n for x in r.ns} for r in L.word_counts(docs).collect()}
+    assert got == {b" common": {"en": 700}, b" words": {"en": 700}, b" and": {"en": 700}, b" un": {"fr": 1}, b" mot": {"fr": 1}} | {f" rare{k}".encode(): {"en": 1} for k in range(700)}
+    model, want = L.fit_language_model(docs, rounds=1), L.LanguageModel(L.read_vocabulary(L.VOCABULARY), ["en", "fr"])
+    words = sorted(got)
+    want.fit(words, np.array([[got[w].get(x, 0) for x in want.languages] for w in words], float), 1, 0.02)
+    assert np.allclose(model.p, want.p, rtol=1e-9)
+    assert model.floor == pytest.approx(np.percentile(model.predict(pa.array([*texts, "un mot"]))[2], 1) - 0.75)
