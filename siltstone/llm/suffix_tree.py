@@ -11,6 +11,9 @@ runs of words in it: a word brings its base, a kept run what its state adds to t
 chance of its last word, and a state what it takes from all words that follow. All are values of 64-bit
 hashes of runs and reach the texts by one join; sieves of bounded size keep back most runs without a
 value, and the ``hot`` words and ``hot`` longer runs with most occurrences are broadcast to save rows.
+
+Runs are counted by range of hash. A task sorts its runs and packs those of a range into one row of binary
+columns; whoever gets a range sorts it, so Spark moves a few large rows, not one for each run.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.llm._io import discard, materialize
@@ -28,6 +32,8 @@ from siltstone.llm._text import U, Words, members, mix, pieces, sieve_of
 END = np.array([0x5DEECE66D1CE4E5B], U)
 #: Bits of the largest sieve; with more keys than that it only lets more rows pass.
 SIEVE_BITS = 27
+#: Bytes of text for each range of hashes; a range's runs are in memory at once.
+PART_BYTES = 2 << 20
 NAMES = ["rid", "doc_id", "held_out", "h", "n", "known", "base", "more"]
 
 
@@ -95,13 +101,29 @@ def held_out_column(doc: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc).cast("string")), F.lit(folds)) == fold, F.lit(False))
 
 
-def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        context, suffix = (b[k].to_numpy().view(U) for k in ("ctx", "sfx"))
-        yield pa.RecordBatch.from_arrays([_i64(joined(context, suffix)), b["ctx"], b["sfx"], b["c"]], names=["h", "ctx", "sfx", "c"])
+def packed(h: np.ndarray, parts: int, *columns: np.ndarray) -> tuple[pa.Array, list[pa.Array]]:
+    """The ranges, ``parts`` in all, that ascending hashes fall in, and for each one the bytes of its slice of every column."""
+    ids = (h >> U(32)) * U(parts) >> U(32)
+    bounds = np.append(starts(ids), len(h))
+    bytes_of = lambda x: pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * x.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+    return _i64(ids[bounds[:-1]]), [bytes_of(x) for x in columns]
+
+
+def unpacked(column: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a packed column, and how many of them each row has."""
+    whole = pc.cast(pa.concat_arrays(column.chunks), pa.large_binary())
+    bounds = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    return np.frombuffer(whole.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].view(dtype), np.diff(bounds) // np.dtype(dtype).itemsize
 
 
-def _train(docs: DataFrame, rules: TreeRules) -> tuple[DataFrame, int, int]:
+def starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(sorted_keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])
+    return np.flatnonzero(new)
+
+
+def _train(docs: DataFrame, rules: TreeRules, parts: int) -> tuple[DataFrame, int, int]:
     """The model (h, n, c, more), the training tokens and distinct words. ``c`` is null but for words."""
     sc = docs.sparkSession.sparkContext
     train = docs.where("not held_out").select("text")
@@ -127,12 +149,27 @@ def _train(docs: DataFrame, rules: TreeRules) -> tuple[DataFrame, int, int]:
                     g = longer(g)
                 ok = shared.value.passes(g)
                 at = np.flatnonzero(ok[1:] & ok[:-1] & (place[1:] >= depth)) + 1
-                _, first, c = np.unique(joined(g[at - 1], g[at]), return_index=True, return_counts=True)
-                at = at[first]
-                yield pa.RecordBatch.from_arrays([_i64(g[at - 1]), _i64(g[at]), pa.array(c.astype(np.int64))], names=["ctx", "sfx", "c"])
-
-        pairs = train.mapInArrow(follow, "ctx long, sfx long, c long").groupBy("ctx", "sfx").agg(F.sum("c").alias("c")).where(F.col("c") >= rules.least_count)
-        pairs = materialize(pairs.mapInArrow(_with_hash, "h long, ctx long, sfx long, c long"), "runs")
+                h = joined(g[at - 1], g[at])
+                order = np.argsort(h)
+                h = h[order]
+                first = starts(h)
+                at, c = at[order[first]], np.diff(np.append(first, len(h)))
+                ids, columns = packed(h[first], parts, g[at - 1], g[at], c.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([ids, *columns], names=["part", "ctx", "sfx", "c"])
+
+        def frequent(rows: pa.Table) -> pa.Table:
+            ctx, sfx, c = (unpacked(rows[k], t)[0] for k, t in (("ctx", U), ("sfx", U), ("c", np.int32)))
+            h = joined(ctx, sfx)
+            order = np.argsort(h)
+            h = h[order]
+            first = starts(h)
+            c = np.add.reduceat(c[order].astype(np.int64), first)
+            ok = c >= rules.least_count
+            at = order[first[ok]]
+            return pa.table([_i64(h[first[ok]]), _i64(ctx[at]), _i64(sfx[at]), pa.array(c[ok])], names=["h", "ctx", "sfx", "c"])
+
+        pairs = train.mapInArrow(follow, "part long, ctx binary, sfx binary, c binary").groupBy("part")
+        pairs = materialize(pairs.applyInArrow(frequent, "h long, ctx long, sfx long, c long"), "runs")
         tested = pairs.join(runs.select(F.col("h").alias("ctx"), F.col("c").alias("total")), "ctx").join(runs.select(F.col("h").alias("sfx"), F.col("p").alias("shorter")), "sfx")
         e = F.col("total") * F.col("shorter")
         gain = F.col("c") * F.log(F.col("c") / e)
@@ -186,7 +223,8 @@ def suffix_tree_scores(documents: DataFrame, rules: TreeRules = TreeRules(), fol
     empty table gives no rows; columns but doc_id and text are not read.
     """
     docs = documents.select("doc_id", "text", held_out_column("doc_id", folds, fold).alias("held_out"))
-    model, tokens, kinds = _train(docs, rules)
+    parts = 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
+    model, tokens, kinds = _train(docs, rules, parts)
     longest = model.where("c is null")
     shared = docs.sparkSession.sparkContext.broadcast(Hot(_most(model.where("c is not null"), rules.hot), _most(longest, rules.hot), tokens, kinds, Sieve(longest.select("h"))))
     kind, depth = docs.schema["doc_id"].dataType.simpleString(), rules.depth
@@ -216,9 +254,10 @@ def suffix_tree_scores(documents: DataFrame, rules: TreeRules = TreeRules(), fol
             yield pa.RecordBatch.from_arrays([part["rid"], part["doc_id"], part["held_out"], pa.nulls(n, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)), sums(base), sums(more)], names=NAMES)
             of, h, word = (np.concatenate(x) for x in zip(*rest, strict=True))
             if len(h):
-                order = np.lexsort((h, of))
+                # by text, then by most of the hash: what still stands apart is a row more, and sums are the same
+                order = np.argsort(of.astype(U) << U(48) | h >> U(16))
                 of, h, word = of[order], h[order], word[order]
-                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (of[1:] != of[:-1])))
+                first = starts(h, of)
                 times = np.diff(np.append(first, len(h)))
                 m = len(first)
                 yield pa.RecordBatch.from_arrays([part["rid"].take(pa.array(of[first])), pa.nulls(m, part["doc_id"].type), pa.nulls(m, pa.bool_()), _i64(h[first]), pa.array(times.astype(np.int64)), pa.array(word[first].astype(np.int64)), pa.nulls(m, pa.float64()), pa.nulls(m, pa.float64())], names=NAMES)

@@ -201,6 +201,46 @@ def test_suffix_tree_against_whole_counts(spark, hot):
         assert rows.score[i] == pytest.approx(total)
 
 
+def test_suffix_tree_moves_blocks_of_runs(spark):
+    rnd = random.Random(6)
+    docs = [(i, " ".join(f"w{rnd.randrange(2000)}" for _ in range(500))) for i in range(400)]
+    sc, none = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty()
+        found = sc.statusStore().stageList(None, False, False, none, None)
+        return {found.apply(i).stageId(): found.apply(i).shuffleWriteRecords() for i in range(found.size())}
+
+    seen = stages()
+    rows = suffix_tree.suffix_tree_scores(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(rows) == 400 and sum(r.n_tokens for r in rows) == 200400
+    moved = sum(n for k, n in stages().items() if k not in seen)
+    assert 0 < moved < 200400 / 4
+
+
+@pytest.mark.parametrize("parts", [1, 7, 3000])
+def test_suffix_tree_packs_and_unpacks(parts):
+    import numpy as np
+    import pyarrow as pa
+
+    h = np.sort(np.random.default_rng(2).integers(0, 1 << 64, 2000, np.uint64))
+    ids, (a, b) = suffix_tree.packed(h, parts, h, np.arange(2000, dtype=np.int32))
+    (x, lengths), (y, _) = (suffix_tree.unpacked(pa.chunked_array([c[:1], c[1:]]), t) for c, t in ((a, np.uint64), (b, np.int32)))
+    assert (x == h).all() and (y == np.arange(2000)).all() and len(set(ids.to_pylist())) == len(ids)
+    assert np.repeat(ids.to_numpy(), lengths).tolist() == [(v >> 32) * parts >> 32 for v in h.tolist()]
+    assert [len(c) for c in suffix_tree.packed(h[:0], parts, h[:0])[1]] == [0]
+
+
+def test_suffix_tree_by_many_ranges(spark, monkeypatch):
+    rnd = random.Random(7)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(rnd.random() ** 3 * 500)}" for _ in range(rnd.randrange(90)))) for i in range(600)], "doc_id long, text string").repartition(3)
+    rules = suffix_tree.TreeRules(hot=8)
+    whole = suffix_tree.suffix_tree_scores(docs, rules).toPandas().set_index("doc_id").sort_index()
+    monkeypatch.setattr(suffix_tree, "PART_BYTES", 2048)
+    split = suffix_tree.suffix_tree_scores(docs, rules).toPandas().set_index("doc_id").sort_index()
+    assert split.score.tolist() == pytest.approx(whole.score.tolist()) and split.n_known.tolist() == whole.n_known.tolist()
+
+
 def test_language(spark, odd, empty):
     import pandas as pd
 
