@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, functions as F
 
-from siltstone.session import work_path
-
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+from siltstone.session import map_texts, work_path  # noqa: F401
 
 
 def free_name(name: str, columns: list[str]) -> str:
@@ -18,15 +14,6 @@ def free_name(name: str, columns: list[str]) -> str:
     return name
 
 
-def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with batches bounded in bytes, unless the session sets its own bound: a batch of long
-    texts is held by the JVM and the Python worker at once, in copies."""
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_BYTES, None) is None:
-        conf.set(BATCH_BYTES, str(4 << 20))
-    return df.mapInArrow(run, schema)
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, and an
     executor that is lost takes nothing with it."""

@@ -6,11 +6,15 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+PIECE = 4 << 20
 
 
 def work_root(spark: SparkSession) -> str:
@@ -36,6 +40,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound Arrow batches in bytes, unless the session sets its own bound: a batch of long texts is held by the JVM
+    and the Python worker at once, in copies."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(PIECE))
+
+
+def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded in bytes."""
+    bounded(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
+def pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of about ``size`` bytes, so that what Python makes of one is bounded too."""
+    for b in batches:
+        step = max(1, b.num_rows * size // max(size, b.nbytes))
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
 def ship(spark: SparkSession) -> None:
     """Let executors import this package: add it to the session's files, once, unless their path has it."""
     sc = spark.sparkContext
