@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from siltstone.functions.text import index_tokens
-from siltstone.session import written
+from siltstone.session import map_texts, pieces, written
 
 BROADCAST_TERMS = 500_000
 
@@ -24,7 +24,7 @@ def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: lis
     wanted = None if terms is None else pa.array(sorted(set(terms)), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             lists = b["tokens"]
             size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             coded = lists.flatten().dictionary_encode()
@@ -37,7 +37,7 @@ def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", terms: lis
             yield pa.RecordBatch.from_arrays([b[key].take(pa.array(row)), coded.dictionary.take(pa.array(code)), pa.array(n.astype(np.int64)), pa.array(size[row])], names=[key, "term", "tf", "dl"])
             yield pa.RecordBatch.from_arrays([pa.nulls(1, b[key].type), pa.nulls(1, pa.string()), pa.array([len(size)], pa.int64()), pa.array([int(size.sum())], pa.int64())], names=[key, "term", "tf", "dl"])
 
-    return docs.select(key, index_tokens(F.col(text)).alias("tokens")).mapInArrow(run, f"{key} {kind}, term string, tf long, dl long")
+    return map_texts(docs.select(key, index_tokens(F.col(text)).alias("tokens")), run, f"{key} {kind}, term string, tf long, dl long")
 
 
 def term_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from siltstone.functions.text import normal_answer
+from siltstone.session import map_texts, pieces
 
 CHARS = 2_000_000
 
@@ -59,7 +60,7 @@ def containing(passages: DataFrame, asked: DataFrame, key: str, text: str, query
     kind = to_arrow_type(asked.schema[query].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches):
             out: list[tuple] = []
             for k, t in zip(b[key].to_pylist(), b[text].to_pylist(), strict=True):
                 for s in shared if t is not None else ():
@@ -72,7 +73,7 @@ def containing(passages: DataFrame, asked: DataFrame, key: str, text: str, query
                     out += [(q, k) for q in held]
             yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], kind), pa.array([k for _, k in out], b[key].type)], names=[query, key])
 
-    return passages.select(key, text).mapInArrow(run, f"{query} {kinds[0]}, {key} {kinds[1]}")
+    return map_texts(passages.select(key, text), run, f"{query} {kinds[0]}, {key} {kinds[1]}")
 
 
 def unioned_answers(answers: Column, aliases: Column) -> Column:

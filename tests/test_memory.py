@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from siltstone.functions.english import lexemes
-from siltstone.operators import fulltext as FT
+from siltstone.operators import bm25, evidence as EV, fulltext as FT
 
 MB = 1e6
 
@@ -60,3 +60,19 @@ def test_asked_lexemes_alone_find_the_same(spark):
     assert {r.doc_id: {x.lexeme: x.places for x in r.text_tsv} for r in few.collect()} == {r.doc_id: {k: v for k, v in lexemes(r.text).items() if k in asked} for r in docs.collect()}
     rows = lambda df: sorted(map(tuple, FT.fulltext_search(df, queries, 3).collect()))
     assert rows(few) == rows(whole) != []
+
+
+def test_bm25_counts_slices(spark, sent):
+    bm25.counted(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    one = pa.array([words(1000).split()], pa.list_(pa.string()))
+    big = pa.RecordBatch.from_arrays([pa.array(range(2000)), one.take(pa.array([0] * 2000))], names=["doc_id", "tokens"])
+    rows, mb, most = held(sent[-1], iter([big]))
+    assert mb < 40 and most < 400_000 and rows > 1_000_000
+
+
+def test_evidence_holds_slices(spark, sent):
+    asked = spark.createDataFrame([(1, "ub1")], "query_id long, query string")
+    EV.containing(spark.createDataFrame([(1, "a")], "doc_id long, text string"), asked, "doc_id", "text", "query_id", "query")
+    big = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(["x" * 20_000 + "ub1"] * 2000)], names=["doc_id", "text"])
+    rows, mb, _ = held(sent[-1], iter([big]))
+    assert rows == 2000 and mb < 20
