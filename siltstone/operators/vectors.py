@@ -1,8 +1,9 @@
 """Vector search: exact, by cells, and by product-quantised codes.
 
-A set of queries goes out in blocks of BLOCK, all of which one scan of the vectors meets. By cells, queries and
-vectors meet in groups of a cell, so that other cells are not scored; a large cell is several groups. By codes, a
-vector costs a table lookup for each part, and is never rebuilt. Rows without a vector are not searched.
+A set of queries goes out whole, and one scan of the vectors meets them in tiles of SCORES numbers; a task keeps the
+best of each query and gives them once. By cells, queries and vectors meet in groups of a cell, so that other cells are
+not scored; a large cell is several groups. By codes, a vector costs a table lookup for each part, and is never
+rebuilt. Rows without a vector are not searched.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from siltstone.session import written
+from siltstone.session import pieces, written
 
-BLOCK = 2048
-#: Vectors of a cell that are scored together.
-GROUP = 100_000
+#: Vectors and scores of one tile.
+ROWS, SCORES = 8192, 1 << 20
+#: Vectors of a cell that are in one group.
+GROUP = 32_768
 
 
 def unit(v: Column) -> Column:
@@ -33,16 +35,10 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _blocks(queries: DataFrame, query: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
-    ids, rows = [], []
-    for r in queries.select(query, vector).toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == BLOCK:
-            yield ids, np.array(rows, np.float64)
-            ids, rows = [], []
-    if ids:
-        yield ids, np.array(rows, np.float64)
+def _asked(queries: DataFrame, query: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """Queries that have a vector: their ids and the vectors."""
+    rows = queries.where(F.col(vector).isNotNull()).select(query, vector).toArrow()
+    return rows[query].to_numpy(), matrix(rows[vector].combine_chunks())
 
 
 def top_rows(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +58,7 @@ def top_rows(scores: np.ndarray, keys: np.ndarray, k: int) -> tuple[np.ndarray,
 def products(metric: str) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
     """Scores of queries x vectors, greater is better, rounded so that sums in another order agree."""
     if metric == "ip":
-        return lambda q, x: np.round(q @ x.T, 6)
+        return lambda q, x: np.round(s := q @ x.T, 6, out=s)
     return lambda q, x: np.round(-((q * q).sum(axis=1)[:, None] - 2 * q @ x.T + (x * x).sum(axis=1)), 6)
 
 
@@ -72,59 +68,84 @@ def _ranked(found: DataFrame, k: int, key: str, query: str) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def _scan(base: DataFrame, blocks: list[tuple], columns: list[str], score: Callable, k: int, key: str, query: str) -> DataFrame:
-    """The ``k`` best of each query of all ``blocks`` (ids, what ``score`` takes) in each batch of ``base``."""
-    spark = base.sparkSession
-    shared = [spark.sparkContext.broadcast(b) for b in blocks]
+class Best:
+    """The ``k`` best so far of each of ``n`` queries: greater scores first, ties by key."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.score, self.key = k, np.full((n, k), -np.inf), np.zeros((n, k), np.int64)
+
+    def meet(self, q: np.ndarray, x: np.ndarray, keys: np.ndarray, score: Callable) -> None:
+        """Queries ``q`` and vectors or codes ``x``, in tiles."""
+        for v in range(0, len(keys), ROWS):
+            some, names = x[v : v + ROWS], keys[v : v + ROWS]
+            step = max(1, SCORES // len(names))
+            for at in range(0, len(q), step):
+                self._take(at, score(q[at : at + step], some), names)
+
+    def _take(self, at: int, scores: np.ndarray, keys: np.ndarray) -> None:
+        held, names = self.score[at : at + len(scores)], self.key[at : at + len(scores)]
+        least, last = held[:, -1:], names[:, -1:]
+        i, j = np.nonzero((scores > least) | ((scores == least) & (keys < last)))
+        if len(i) > 4 * held.size:
+            i, j = top_rows(scores, keys, self.k)
+        if not len(i):
+            return
+        rows = np.concatenate([np.repeat(np.arange(len(held)), self.k), i])
+        s, t = np.concatenate([held.ravel(), scores[i, j]]), np.concatenate([names.ravel(), keys[j]])
+        order = np.lexsort((t, -s, rows))
+        kept = order[np.searchsorted(rows[order], np.arange(len(held)))[:, None] + np.arange(self.k)]
+        held[:], names[:] = s[kept], t[kept]
+
+    def rows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j = np.nonzero(self.score > -np.inf)
+        return ids[i], self.key[i, j], self.score[i, j]
+
+
+def _scan(base: DataFrame, asked: tuple[np.ndarray, np.ndarray], columns: list[str], read: Callable, score: Callable, k: int, key: str, query: str) -> DataFrame:
+    """The ``k`` best of each query of ``asked`` (ids, vectors) in each task's rows of ``base``; ``read`` gives what
+    ``score`` takes from a column."""
+    shared = base.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys = b[key].to_numpy()
-            for s in shared:
-                ids, asked = s.value
-                scores = score(asked, b)
-                i, j = top_rows(scores, keys, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[i]), pa.array(keys[j]), pa.array(scores[i, j])], names=[query, key, "score"])
+        ids, q = shared.value
+        best = Best(len(ids), k)
+        for b in pieces(batches):
+            best.meet(q, read(b[columns[1]]), b[key].to_numpy(), score)
+        for at in range(0, len(ids), ROWS):
+            some = Best(0, k)
+            some.score, some.key = best.score[at : at + ROWS], best.key[at : at + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(some.rows(ids[at : at + ROWS]), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=[query, key, "score"])
 
     return base.select(*columns).where(F.col(columns[1]).isNotNull()).mapInArrow(run, f"{query} long, {key} long, score double")
 
 
 def flat_topk(base: DataFrame, queries: DataFrame, k: int, metric: str = "ip", key: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "vector") -> DataFrame:
-    """(query, key, score, rank): the exact ``k`` best by inner product or squared distance; ties by key. Each task keeps
-    k of each query from a batch, so what is shuffled does not grow with a batch."""
-    score = products(metric)
-    asked = list(_blocks(queries.where(F.col(query_vector).isNotNull()), query, query_vector))
-    out = _ranked(_scan(base, asked, [key, vector], lambda q, b: score(q, matrix(b[vector])), k, key, query), k, key, query)
+    """(query, key, score, rank): the exact ``k`` best by inner product or squared distance; ties by key. Each task gives
+    k of each query, so what is shuffled does not grow with a task's rows."""
+    out = _ranked(_scan(base, _asked(queries, query, query_vector), [key, vector], matrix, products(metric), k, key, query), k, key, query)
     return out if metric == "ip" else out.withColumn("score", -F.col("score"))
 
 
 def cells_topk(base: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, nprobe: int, metric: str = "ip", key: str = "vec_id", vector: str = "embedding", query: str = "query_id", query_vector: str = "vector", books: np.ndarray | None = None) -> DataFrame:
     """The same over ``base`` with ``cell``: a query meets the vectors of its ``nprobe`` best cells, in groups of GROUP.
     With ``books`` the column ``vector`` holds codes, scored by lookups."""
-    score, groups = products(metric), F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP)).cast("int")
+    read, score = (matrix, products(metric)) if books is None else by_codes(books)
+    groups = F.greatest(F.lit(1), F.ceil(F.col("n") / GROUP)).cast("int")
     sizes = written(base.groupBy("cell").agg(F.count("*").alias("n")).select("cell", groups.alias("groups")), "cells")
     few = F.broadcast(sizes)  # a row for each cell of the index, whose number is a parameter
     part = F.pmod(F.xxhash64(key), F.col("groups")).cast("int")
-    held = base.where(F.col(vector).isNotNull()).join(few, "cell").select("cell", part.alias("part"), key, (F.col(vector) if books is not None else F.col(vector).cast("array<double>")).alias("v"))
+    held = base.where(F.col(vector).isNotNull()).join(few, "cell").select("cell", part.alias("part"), key, F.col(vector).alias("v"))
     probes = flat_topk(centroids.select("cell", "vector"), queries, nprobe, metric, key="cell", vector="vector", query=query, query_vector=query_vector)
-    asked = probes.select(query, "cell").join(queries.select(query, F.col(query_vector).cast("array<double>").alias("q")), query).join(few, "cell")
+    asked = probes.select(query, "cell").join(queries.select(query, F.col(query_vector).alias("q")), query).join(few, "cell")
     asked = asked.select("cell", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), query, "q")
 
     def run(one: pa.Table, two: pa.Table) -> pa.Table:
         if not one.num_rows or not two.num_rows:
             return pa.table({query: pa.array([], pa.int64()), key: pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         keys, ids, q = one[key].to_numpy(), two[query].to_numpy(), matrix(two["q"].combine_chunks())
-        x = matrix(one["v"].combine_chunks()) if books is None else one["v"]
-        out = [[], [], []]
-        for at in range(0, len(ids), BLOCK):
-            some = q[at : at + BLOCK]
-            s = score(some, x) if books is None else lookups(code_tables(some, books), x)
-            i, j = top_rows(s, keys, k)
-            for to, v in zip(out, (ids[at + i], keys[j], s[i, j]), strict=True):
-                to.append(v)
-        return pa.table(dict(zip((query, key, "score"), map(np.concatenate, out), strict=True)))
+        best = Best(len(ids), k)
+        best.meet(q, read(one["v"].combine_chunks()), keys, score)
+        return pa.table(dict(zip((query, key, "score"), best.rows(ids), strict=True)))
 
     found = held.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInArrow(run, f"{query} long, {key} long, score double")
     out = _ranked(found, k, key, query)
@@ -207,22 +228,25 @@ def code_tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
     return np.einsum("qmw,mcw->qmc", q.reshape(len(q), len(books), -1), books)
 
 
-def lookups(tables: np.ndarray, codes: pa.Array) -> np.ndarray:
+def lookups(tables: np.ndarray, code: np.ndarray) -> np.ndarray:
     """Scores of queries x rows: the sums of the rows' entries in the queries' tables."""
-    kind = np.uint8 if tables.shape[2] <= 256 else np.uint16
-    code = np.frombuffer(b"".join(codes.to_pylist()), kind).reshape(len(codes), tables.shape[1])
-    out = np.zeros((len(tables), len(codes)))
-    for m in range(tables.shape[1]):
-        out += tables[:, m, code[:, m]]
-    return np.round(out, 6)
+    out = np.zeros((len(code), len(tables)))
+    for m, entries in enumerate(np.ascontiguousarray(tables.transpose(1, 2, 0))):
+        out += entries[code[:, m]]
+    return np.ascontiguousarray(np.round(out, 6, out=out).T)
+
+
+def by_codes(books: np.ndarray) -> tuple[Callable, Callable]:
+    """How a column of codes is read, and scored for a tile of queries, whose tables are made for that tile alone."""
+    kind = np.uint8 if books.shape[1] <= 256 else np.uint16
+    read = lambda column: np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), len(books))
+    return read, lambda q, code: lookups(code_tables(q, books), code)
 
 
 def codes_topk(coded: DataFrame, books: np.ndarray, queries: DataFrame, k: int, key: str = "vec_id", query: str = "query_id", query_vector: str = "vector") -> DataFrame:
     """(query, key, score, rank) by inner product with each vector's codes: a table of products of the query with all
-    codes is made once, and a vector's score is a sum of lookups."""
-    asked = [(ids, code_tables(q, books)) for ids, q in _blocks(queries.where(F.col(query_vector).isNotNull()), query, query_vector)]
-    score = lambda tables, b: lookups(tables, b["codes"])
-    return _ranked(_scan(coded, asked, [key, "codes"], score, k, key, query), k, key, query)
+    codes is made for a tile, and a vector's score is a sum of lookups."""
+    return _ranked(_scan(coded, _asked(queries, query, query_vector), [key, "codes"], *by_codes(books), k, key, query), k, key, query)
 
 
 def new_rows(base: DataFrame, stored: DataFrame, key: str = "vec_id") -> DataFrame:

@@ -4,11 +4,12 @@ large batch."""
 import random
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from siltstone.functions.english import lexemes
-from siltstone.operators import bm25, evidence as EV, fulltext as FT
+from siltstone.operators import bm25, evidence as EV, fulltext as FT, vectors as V
 
 MB = 1e6
 
@@ -76,3 +77,37 @@ def test_evidence_holds_slices(spark, sent):
     big = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(["x" * 20_000 + "ub1"] * 2000)], names=["doc_id", "text"])
     rows, mb, _ = held(sent[-1], iter([big]))
     assert rows == 2000 and mb < 20
+
+
+def vectors(n, dim, seed):
+    x = np.random.default_rng(seed).normal(size=(n, dim)).astype(np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(x.reshape(-1)))
+
+
+@pytest.mark.parametrize("kind", ["flat", "codes"])
+def test_vector_search_holds_tiles(spark, sent, kind):
+    base = spark.createDataFrame([(1, [0.1] * 8)], "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame(pa.table({"query_id": range(3000), "vector": vectors(3000, 8, 2)}))
+    books = np.random.default_rng(1).normal(size=(4, 256, 2))
+    if kind == "flat":
+        V.flat_topk(base, queries, 5)
+        big = pa.RecordBatch.from_arrays([pa.array(range(6000)), vectors(6000, 8, 3)], names=["vec_id", "embedding"])
+    else:
+        V.codes_topk(V.encode(base, books), books, queries, 5)
+        code = np.random.default_rng(4).integers(0, 256, (6000, 4)).astype(np.uint8)
+        big = pa.RecordBatch.from_arrays([pa.array(range(6000)), pa.array([c.tobytes() for c in code], pa.binary())], names=["vec_id", "codes"])
+    rows, mb, _ = held(sent[-1], iter([big, big.slice(0, 0)]))
+    assert rows == 15_000 and mb < 100
+
+
+def test_best_of_tiles_against_sorting():
+    rng = np.random.default_rng(7)
+    scores, keys = np.round(rng.random((9, 700)), 1), rng.permutation(700)
+    for order in (np.arange(700), np.argsort(scores[0])):  # also scores that only rise
+        best = V.Best(9, 6)
+        for at in range(0, 700, 90):
+            some = order[at : at + 90]
+            best.meet(np.arange(9), some, keys[some], lambda q, x: scores[np.ix_(q, x)])
+        for q in range(9):
+            want = sorted(range(700), key=lambda p: (-scores[q, p], keys[p]))[:6]
+            assert best.key[q].tolist() == keys[want].tolist() and best.score[q].tolist() == scores[q, want].tolist()
