@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siltstone.functions.text import chunk_id
 from siltstone.functions.wikitext import STEPS
+from siltstone.session import map_texts, pieces
 
 # Abbreviations that end no sentence, and sections that are left out.
 ABBREVIATIONS = "Mr Mrs Ms Dr Prof Gen Rep Sen Gov St Mt U.S U.K e.g i.e vs approx vol dept univ etc al".split()
@@ -127,7 +128,7 @@ def chunk_documents(articles: DataFrame, rules: ChunkRules = ChunkRules()) -> Da
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 1 << 20):
             rows = []
             for doc, title, url, text in zip(*(b[c].to_pylist() for c in ("doc_id", "title", "url", "text")), strict=True):
                 try:
@@ -137,7 +138,7 @@ def chunk_documents(articles: DataFrame, rules: ChunkRules = ChunkRules()) -> Da
                     rows.append((doc, title, url, None, None, None, None, repr(e)))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], names=names)
 
-    made = articles.select("doc_id", "title", "url", "text").mapInArrow(run, "doc_id long, title string, url string, seq int, section_path string, text string, token_count int, error string")
+    made = map_texts(articles.select("doc_id", "title", "url", "text"), run, "doc_id long, title string, url string, seq int, section_path string, text string, token_count int, error string")
     return made.select(chunk_id(F.col("doc_id"), F.col("seq")).alias("chunk_id"), *names)
 
 
