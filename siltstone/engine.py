@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from siltstone.operators import bm25, grounding as G, lookup as L, retrieval as R, vectors as V
+from siltstone.session import written
 
 MODES = ("dense", "sparse", "hybrid_rrf", "hybrid_rerank")
 
@@ -22,11 +23,11 @@ class Engine:
 
     def runs(self, queries: DataFrame, vectors: DataFrame, k: int = 10) -> dict[str, DataFrame]:
         """(query_id, doc_id, rank) of each mode, from queries (query_id, query) and their vectors (query_id, vector).
-        Blank queries find nothing by words."""
+        Blank queries find nothing by words. Both rankings and their fusion are written, as several modes read them."""
         asked = L.answerable(queries)
-        dense = V.flat_topk(self.vectors, vectors, self.candidates).withColumnRenamed("vec_id", "doc_id")
-        sparse = bm25.search(self.documents, asked, self.candidates)
-        fused = R.reciprocal_rank_fusion(dense, sparse, self.rrf_k)
+        dense = written(V.flat_topk(self.vectors, vectors, self.candidates).withColumnRenamed("vec_id", "doc_id"), "dense")
+        sparse = written(bm25.search(self.documents, asked, self.candidates), "sparse")
+        fused = written(R.reciprocal_rank_fusion(dense, sparse, self.rrf_k), "fused")
         reranked = R.lexical_rerank(fused.where(F.col("fused_rank") <= self.candidates), asked, self.documents, k)
         ranked = lambda df, rank: df.select("query_id", "doc_id", F.col(rank).alias("rank")).where(F.col("rank") <= k)
         return dict(zip(MODES, (ranked(dense, "rank"), ranked(sparse, "rank"), ranked(fused, "fused_rank"), ranked(reranked, "final_rank")), strict=True))

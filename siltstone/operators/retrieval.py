@@ -26,7 +26,7 @@ def hydrate(candidates: DataFrame, documents: DataFrame, key: str = "doc_id") ->
 def lexical_rerank(candidates: DataFrame, queries: DataFrame, texts: DataFrame, k: int, key: str = "doc_id", query: str = "query_id") -> DataFrame:
     """A deterministic reranker: the share of a query's distinct terms that the text holds; ties keep the fused order."""
     asked = queries.select(query, F.array_distinct(index_tokens(F.col("query"))).alias("terms"))
-    scored = candidates.join(asked, query).join(texts.select(key, F.array_distinct(index_tokens(F.col("text"))).alias("held")), key)
+    scored = candidates.join(asked, query).join(texts.select(key, "text"), key).withColumn("held", F.array_distinct(index_tokens(F.col("text"))))
     share = F.size(F.array_intersect("terms", "held")) / F.greatest(F.lit(1), F.size("terms"))
     order = W.partitionBy(query).orderBy(F.desc("rerank_score"), "fused_rank")
-    return scored.withColumn("rerank_score", F.round(share, 6)).withColumn("final_rank", F.row_number().over(order).cast("long")).where(F.col("final_rank") <= k).drop("terms", "held")
+    return scored.withColumn("rerank_score", F.round(share, 6)).withColumn("final_rank", F.row_number().over(order).cast("long")).where(F.col("final_rank") <= k).drop("terms", "held", "text")

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from siltstone.operators.evaluation import retrieval_metrics
+from siltstone.session import written
 
 
 def scaling(runs: DataFrame, workers: str = "workers", elapsed: str = "elapsed") -> DataFrame:
@@ -41,7 +42,9 @@ def rolling_mean(logs: DataFrame, group: str, value: str, time: str, key: str, l
 
 
 def mode_metrics(runs: dict[str, DataFrame], truth: DataFrame, cutoffs: tuple[int, ...] = (1, 5, 10), key: str = "doc_id", query: str = "query_id") -> DataFrame:
-    """Means of the retrieval metrics by mode over the grounded queries, those of ``truth``; a query without a run is 0."""
+    """Means of the retrieval metrics by mode over the grounded queries, those of ``truth``; a query without a run is 0.
+    The truth is written once for all modes."""
+    truth = written(truth, "truth")
     each = [retrieval_metrics(r, truth, cutoffs, key, query).withColumn("mode", F.lit(m)) for m, r in runs.items()]
     names = ["mrr", *(f"{m}_{k}" for k in cutoffs for m in ("hit_rate", "recall", "ndcg"))]
     return reduce(DataFrame.union, each).groupBy("mode").agg(F.count("*").alias("queries"), *(F.round(F.avg(c), 4).alias(c) for c in names))
