@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from siltstone.engine import Engine
 from siltstone.functions.english import lexemes
-from siltstone.operators import bm25, evidence as EV, fulltext as FT, vectors as V
+from siltstone.operators import bm25, chunking as C, evaluation as E, evidence as EV, fulltext as FT, vectors as V
 
 MB = 1e6
 
@@ -111,3 +112,27 @@ def test_best_of_tiles_against_sorting():
         for q in range(9):
             want = sorted(range(700), key=lambda p: (-scores[q, p], keys[p]))[:6]
             assert best.key[q].tolist() == keys[want].tolist() and best.score[q].tolist() == scores[q, want].tolist()
+
+
+def test_chunks_are_cut_in_slices(spark, sent):
+    C.chunk_documents(spark.createDataFrame([(1, "T", "u", "a")], "doc_id long, title string, url string, text string"))
+    n, text = 100, "x" * 60_000
+    big = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(["T"] * n), pa.array(["u"] * n), pa.array([text] * n)], names=["doc_id", "title", "url", "text"])
+    rows, mb, most = held(sent[-1], iter([big]))
+    assert most < rows / 4 and mb < 40
+
+
+def test_long_answers_are_counted_once(spark):
+    p, g = pa.array([["a", "b", "a"], []]), pa.array([[["a", "a", "a"], []], []], pa.list_(pa.list_(pa.string())))
+    assert E._common.func(p, g).to_pylist() == [[{"n": 2, "p": 3, "g": 3}, {"n": 0, "p": 3, "g": 0}], []]
+    long = pa.array([[str(i) for i in range(100_000)]])
+    assert E._common.func(long, pa.array([long.to_pylist()])).to_pylist() == [[{"n": 100_000, "p": 100_000, "g": 100_000}]]
+
+
+def test_modes_read_written_rankings(spark):
+    text, vector = "doc_id long, title string, url string, text string", "vec_id long, embedding array<float>"
+    docs = spark.createDataFrame([(i, "t", "u", f"rock ice{i}") for i in range(5)], text)
+    e = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], vector)
+    q = spark.createDataFrame([(1, "rock ice1")], "query_id long, query string")
+    runs = Engine(docs, e).runs(q, spark.createDataFrame([(1, [1.0, 1.0])], "query_id long, vector array<float>"))
+    assert all(r.inputFiles() and all("/tables/" in f for f in r.inputFiles()) for m, r in runs.items() if m != "hybrid_rerank")
